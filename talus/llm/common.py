@@ -38,3 +38,10 @@ def col(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 import pyarrow.compute  # noqa: E402,F401  (registers pa.compute)
+
+
+def ensure_checkpoints(spark) -> None:
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/talus-checkpoints")
