@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import decontam, langid, quality, seed_extend, simhash, spm, suffix_dedup
+from talus.llm import decontam, html, langid, quality, seed_extend, simhash, spm, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(_table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -48,7 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op5_suffix_dedup, op6_quality_rules, op7_simhash, op9_substrings, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_suffix_dedup, op6_quality_rules, op7_simhash, op9_substrings, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
