@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import decontam, html, langid, quality, seed_extend, simhash, spm, suffix_dedup
+from talus.llm import decontam, html, langid, quality, seed_extend, simhash, spm, suffix_dedup, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = tokencount.unigram_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = seed_extend.repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -52,7 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_suffix_dedup, op6_quality_rules, op7_simhash, op9_substrings, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_suffix_dedup, op6_quality_rules, op7_simhash, op8_token_counts, op9_substrings, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
