@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import decontam, html, langid, quality, seed_extend, simhash, spm, suffix_dedup, tokencount
+from talus.llm import decontam, html, langid, lmscore, quality, seed_extend, simhash, spm, suffix_dedup, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(_table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -59,7 +63,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op5_suffix_dedup, op6_quality_rules, op7_simhash, op8_token_counts, op9_substrings, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_simhash, op8_token_counts, op9_substrings, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
