@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import col, ensure_checkpoints, slices, text_bytes
+from talus.llm.common import col, ensure_checkpoints, replaced, slices, text_bytes
 
 BLOCK_BYTES = 2 << 20
 #: Raw text behind one bucket of keys; buckets bound what a task holds, whatever the corpus.
@@ -42,7 +42,7 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 
 @dataclass
 class Block:
-    """Documents of a block, one after the other."""
+    """Documents of a block, one after the other; a null text is an empty one."""
 
     ids: np.ndarray
     starts: np.ndarray  # of each document, and the end
@@ -60,8 +60,11 @@ class Block:
         return Block(ids, np.concatenate(([0], np.cumsum(lengths))), raw[8 + 16 * n :])
 
 
-def packed(documents: DataFrame) -> DataFrame:
-    """block (long), raw (bytes of text), payload; partitioned by block and checkpointed."""
+def packed(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """block (long), raw (bytes of text), payload, rest; partitioned by block and checkpointed.
+
+    rest has the documents' rows without their texts (compressed Arrow) if `carry`, else nothing.
+    """
     ensure_checkpoints(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,13 +74,29 @@ def packed(documents: DataFrame) -> DataFrame:
                 texts = text_bytes(col(batch, "text"))
                 ids = np.array([NO_ID if i is None else i for i in col(batch, "doc_id").to_pylist()], dtype=np.int64)
                 made = Block(ids, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), b"".join(texts))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(made.data)], pa.int64()), pa.array([made.pack()], pa.binary())], names=["block", "raw", "payload"])
+                rest = whole_rows(batch) if carry else b""
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(made.data)], pa.int64()), pa.array([made.pack()], pa.binary()), pa.array([rest], pa.binary())], names=["block", "raw", "payload", "rest"])
                 block += 1
 
-    made = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, raw long, payload binary")
+    rows = documents if carry else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(run, "block long, raw long, payload binary, rest binary")
     return made.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").checkpoint()
 
 
+def whole_rows(batch: pa.RecordBatch) -> bytes:
+    """The rows with null texts: the payload has those."""
+    k = batch.schema.get_field_index("text")
+    bare = batch.set_column(k, batch.schema.field(k), pa.nulls(batch.num_rows, batch.schema.field(k).type))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, bare.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(bare)
+    return sink.getvalue().to_pybytes()
+
+
+def read_rows(rest: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rest).read_next_batch()
+
+
 def buckets_for(blocks: DataFrame) -> int:
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // BUCKET_BYTES))
@@ -255,5 +274,18 @@ def over_blocks(blocks: DataFrame, work: Callable, schema: str, names: list[str]
     return blocks.select("block", "payload", *extra).mapInArrow(run, schema)
 
 
+def over_rows(blocks: DataFrame, work: Callable, schema, *extra: str) -> DataFrame:
+    """work(Block, the extra columns' values) gives the texts of the block's rows; these come back with their other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.unpack(col(batch, "payload")[i].as_py())
+                texts = work(block, *(col(batch, x)[i].as_py() for x in extra))
+                yield replaced(read_rows(col(batch, "rest")[i].as_py()), texts)
+
+    return blocks.select("payload", "rest", *extra).mapInArrow(run, schema)
+
+
 QUESTION = "bucket long, block long, payload binary"
 QUESTION_NAMES = ["bucket", "block", "payload"]

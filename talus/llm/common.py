@@ -33,6 +33,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start, n - start)
 
 
+def replaced(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    """The batch with other texts, and n_chars to match where it has such a column."""
+    arrays = list(batch.columns)
+    for k, field in enumerate(batch.schema):
+        if field.name == "text":
+            arrays[k] = pa.array(texts, field.type)
+        elif field.name == "n_chars" and pa.types.is_integer(field.type):
+            arrays[k] = pa.array([None if t is None else len(t) for t in texts], field.type)
+    return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import col, slices, text_bytes
+from talus.llm.common import col, replaced, slices, text_bytes
 
 WINDOW = 8
+#: Share of hit words beyond which a document is dropped as a whole.
+MAX_COVERAGE = 0.5
 #: Items and their automaton are held by every task. Benchmarks are curated tables of a few MB; more is refused.
 MAX_BENCHMARK_BYTES = 64 << 20
 
@@ -186,7 +188,42 @@ def _byte_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return spans
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, with_text: bool = True) -> DataFrame:
+def _matcher(benchmark: DataFrame, window: int) -> Matcher:
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"benchmark texts take {size} bytes; the automaton is bounded to {MAX_BENCHMARK_BYTES}")
+    items = [(str(r[0]), r[1].encode()) for r in benchmark.select("item_id", "text").collect() if r[0] is not None and r[1]]
+    return Matcher(sorted(items), window)
+
+
+def _without(text: bytes, spans: list[dict[str, int]]) -> str:
+    cuts = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+    return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode()
+
+
+def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """The documents with benchmark passages cut out of their texts, without those that such passages cover too far."""
+    held = documents.sparkSession.sparkContext.broadcast(_matcher(benchmark, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                raw = text_bytes(col(batch, "text"))
+                texts, stays = col(batch, "text").to_pylist(), [True] * len(raw)
+                docs = [words(t) for t in raw]
+                starts, hit, _ = held.value.match(docs)
+                total = np.concatenate(([0], np.cumsum(hit)))
+                for d in np.flatnonzero(total[starts[1:]] > total[starts[:-1]]):
+                    own = hit[starts[d] : starts[d + 1] - 1]
+                    stays[d] = bool(own.sum() <= max_coverage * len(docs[d]))
+                    texts[d] = _without(raw[d], _byte_spans(raw[d], own))
+                made = replaced(batch, texts) if hit.any() else batch
+                yield made.filter(pa.array(stays, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, with_text: bool = True) -> DataFrame:
     """Finds and cuts benchmark passages.
 
     Per document: doc_id, n_words, n_hit (words inside any window of an item),
@@ -195,11 +232,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     (more than `max_coverage` of the words are hit). Spans and text are null
     when `with_text` is false.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark texts take {size} bytes; the automaton is bounded to {MAX_BENCHMARK_BYTES}")
-    items = [(str(r[0]), r[1].encode()) for r in benchmark.select("item_id", "text").collect() if r[0] is not None and r[1]]
-    held = documents.sparkSession.sparkContext.broadcast(Matcher(sorted(items), window))
+    held = documents.sparkSession.sparkContext.broadcast(_matcher(benchmark, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = held.value
@@ -220,8 +253,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                         spans[d], clean[d] = [], text.decode()
                         if n_hit[d]:
                             spans[d] = _byte_spans(text, hit[starts[d] : starts[d + 1] - 1])
-                            cuts = [0, *(x for s in spans[d] for x in (s["start"], s["end"])), len(text)]
-                            clean[d] = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode()
+                            clean[d] = _without(text, spans[d])
                 n = [len(w) for w in docs]
                 out = [ids, n, n_hit.tolist(), [sorted(x) for x in items], spans, clean, [bool(h > max_coverage * k) for h, k in zip(n_hit, n)]]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.bool_()]

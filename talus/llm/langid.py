@@ -31,6 +31,8 @@ from talus.llm.common import col, slices, text_bytes
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
 UNKNOWN = "und"
+#: Below, a text is in none of the learned languages.
+MIN_SCORE = 0.35
 _LETTER = re.compile(r"[^\W\d_]")
 _AT_ONCE = 512
 
@@ -151,24 +153,28 @@ def learn(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | N
     return network
 
 
+def classify(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language and probability of each whole text."""
+    found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t.decode())]
+    if lettered:
+        windows, owner, size = cut([texts[i] for i in lettered])
+        weighed = net.probabilities(windows) * size[:, None]
+        starts = np.searchsorted(owner, np.arange(len(lettered)))
+        mean = np.add.reduceat(weighed.astype(np.float64), starts) / np.add.reduceat(size, starts)[:, None]
+        for i, k, p in zip(lettered, mean.argmax(axis=1), mean.max(axis=1)):
+            found[i], scores[i] = net.languages[k], min(1.0, float(p))
+    return found, scores
+
+
 def predict(documents: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     held = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                texts = text_bytes(col(batch, "text"))
-                found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                lettered = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t.decode())]
-                if lettered:
-                    windows, owner, size = cut([texts[i] for i in lettered])
-                    weighed = net.probabilities(windows) * size[:, None]
-                    starts = np.searchsorted(owner, np.arange(len(lettered)))
-                    mean = np.add.reduceat(weighed.astype(np.float64), starts) / np.add.reduceat(size, starts)[:, None]
-                    for i, k, p in zip(lettered, mean.argmax(axis=1), mean.max(axis=1)):
-                        found[i], scores[i] = net.languages[k], min(1.0, float(p))
+                found, scores = classify(held.value, text_bytes(col(batch, "text")))
                 arrays = [col(batch, "doc_id"), col(batch, "held_out"), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -178,3 +184,16 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
 
 def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(documents, learn(documents, per_language))
+
+
+def accepted(documents: DataFrame, network: Network | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows, unchanged, whose language is known with at least this probability."""
+    held = documents.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                found, scores = classify(held.value, text_bytes(col(batch, "text")))
+                yield batch.filter(pa.array([f != UNKNOWN and s >= min_score for f, s in zip(found, scores)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

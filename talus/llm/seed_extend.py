@@ -70,14 +70,26 @@ def _keys(rolling: B.Rolling, at: np.ndarray, window: int) -> np.ndarray:
     return rolling.of(at, at + window) >> np.uint64(64 - B.KEY_BITS) if len(at) else np.zeros(0, dtype=np.uint64)
 
 
-def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), kept_text, spans.
+def _mark(block: B.Block, met: list | None, owned: list | None, buckets: int, seed: int, window: int) -> tuple[Words, np.ndarray]:
+    """The block's words and which of them stand in a window that a smaller document has."""
+    words, rolling, runs = _runs(block, seed, window)
+    at, doc = _windows(runs, B.read_bits(runs.key, buckets, met))
+    keys, ids = _keys(rolling, at, window), block.ids[doc]
+    # the answer is about the key's smallest document in the block; the others are larger than that one
+    least = np.empty(len(keys), dtype=np.int64)
+    if len(keys):
+        order = np.lexsort((ids, keys))
+        head = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+        least[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    gone = at[B.read_bits(keys, buckets, owned) | (least < ids)]
+    change = np.zeros(len(words.start) + 1, dtype=np.int64)
+    np.add.at(change, gone, 1)
+    np.add.at(change, gone + window, -1)
+    return words, np.cumsum(change)[:-1] > 0
 
-    kept_text is the text without the removed words, its white space as it was;
-    spans are the removed runs as first and past-the-last word. Both are null
-    when `with_text` is false.
-    """
-    packed = B.packed(documents)
+
+def _asked(packed: DataFrame, window: int, seed: int) -> tuple[DataFrame, int]:
+    """The blocks with what was found out about their seeds (met) and windows (owned)."""
     buckets = B.buckets_for(packed)
 
     def seeds(number: int, block: B.Block) -> Iterator[tuple]:
@@ -89,47 +101,60 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, with_t
         at, doc = _windows(runs, B.read_bits(runs.key, buckets, met))
         yield from B.ask(number, _keys(rolling, at, window), block.ids[doc], buckets, smaller=True)
 
-    def remove(number: int, block: B.Block, met: list | None, owned: list | None) -> Iterator[tuple]:
-        words, rolling, runs = _runs(block, seed, window)
-        at, doc = _windows(runs, B.read_bits(runs.key, buckets, met))
-        keys, ids = _keys(rolling, at, window), block.ids[doc]
-        bits = B.read_bits(keys, buckets, owned)
-        # within the block only the key's smallest document may own it
-        order = np.lexsort((ids, keys))
-        head = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, dtype=bool)
-        least = np.empty(len(keys), dtype=np.int64)
-        if len(keys):
-            least[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-        gone = at[bits | (least < ids)]
-        change = np.zeros(len(words.start) + 1, dtype=np.int64)
-        np.add.at(change, gone, 1)
-        np.add.at(change, gone + window, -1)
-        removed = np.cumsum(change)[:-1] > 0
+    met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), smaller=False).withColumnRenamed("answers", "met").checkpoint()
+    both = packed.join(met, "block", "left")
+    owned = B.answer(B.over_blocks(both, extend, B.QUESTION, B.QUESTION_NAMES, "met"), smaller=True).withColumnRenamed("answers", "owned")
+    return both.join(owned, "block", "left"), buckets
+
+
+def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _cut(block: B.Block, words: Words, removed: np.ndarray, d: int) -> bytes:
+    """A document's text without its removed words; white space stays as it is outside the removed runs."""
+    first, last = int(words.first[d]), int(block.starts[d])
+    parts = []
+    for x, y in _runs_of(removed[first : int(words.first[d + 1])]):
+        parts.append(block.data[last : words.start[first + x]])
+        last = int(words.end[first + y - 1])
+    return b"".join([*parts, block.data[last : block.starts[d + 1]]])
+
+
+def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), kept_text, spans.
+
+    kept_text is the text without the removed words; spans are the removed runs
+    as first and past-the-last word. Both are null when `with_text` is false.
+    """
+    asked, buckets = _asked(B.packed(documents), window, seed)
+
+    def report(number: int, block: B.Block, met: list | None, owned: list | None) -> Iterator[tuple]:
+        words, removed = _mark(block, met, owned, buckets, seed, window)
         total = np.concatenate(([0], np.cumsum(removed)))
         for d in range(len(block.ids)):
             a, b = int(words.first[d]), int(words.first[d + 1])
-            text = block.data[block.starts[d] : block.starts[d + 1]]
-            n = int(total[b] - total[a])
-            kept = text.split()
-            spans, rest = [], text
+            kept, n = block.data[block.starts[d] : block.starts[d + 1]].split(), int(total[b] - total[a])
             if n:
-                own = removed[a:b]
-                kept = [w for w, r in zip(kept, own.tolist()) if not r]
-                if with_text:
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-                    spans = [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])]
-                    begin, parts = int(block.starts[d]), []
-                    last = begin
-                    for s in spans:
-                        parts.append(block.data[last : words.start[a + s["start"]]])
-                        last = int(words.end[a + s["end"] - 1])
-                    rest = b"".join([*parts, block.data[last : block.starts[d + 1]]])
+                kept = [w for w, r in zip(kept, removed[a:b].tolist()) if not r]
+            text, spans = None, None
+            if with_text:
+                text, spans = _cut(block, words, removed, d).decode(), [{"start": x, "end": y} for x, y in _runs_of(removed[a:b])]
             doc_id = None if block.ids[d] == B.NO_ID else int(block.ids[d])
-            yield doc_id, b - a, n, hashlib.sha256(b" ".join(kept)).hexdigest(), rest.decode() if with_text else None, spans if with_text else None
+            yield doc_id, b - a, n, hashlib.sha256(b" ".join(kept)).hexdigest(), text, spans
 
-    met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), smaller=False).withColumnRenamed("answers", "met").checkpoint()
-    both = packed.join(met, "block", "left")
-    owned = B.answer(B.over_blocks(both, extend, B.QUESTION, B.QUESTION_NAMES, "met"), smaller=True).withColumnRenamed("answers", "owned")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>"
-    return B.over_blocks(both.join(owned, "block", "left"), remove, schema, names, "met", "owned")
+    return B.over_blocks(asked, report, schema, names, "met", "owned")
+
+
+def without_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """The documents, row by row, with repeated words cut out of their texts; null texts become empty."""
+    asked, buckets = _asked(B.packed(documents, carry=True), window, seed)
+
+    def texts(block: B.Block, met: list | None, owned: list | None) -> list[str]:
+        words, removed = _mark(block, met, owned, buckets, seed, window)
+        return [_cut(block, words, removed, d).decode() for d in range(len(block.ids))]
+
+    return B.over_rows(asked, texts, documents.schema, "met", "owned")
