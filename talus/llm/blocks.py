@@ -1,7 +1,7 @@
 """Blocks of whole documents, and questions about content keys across all of them.
 
 Two operators look for content that stands in more than one document. Both pack
-documents into blocks of about 2 MB once, compressed, dealt by block number and
+documents into blocks of about 1 MB once, compressed, dealt by block number and
 checkpointed: that partitioning is kept, so the blocks never move again while
 small answers are joined to them, however often.
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import col, ensure_checkpoints, replaced, slices, text_bytes
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Raw text behind one bucket of keys; buckets bound what a task holds, whatever the corpus.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
 KEY_BITS = 48
 #: Stands for a null doc_id: larger than all others.
 NO_ID = np.iinfo(np.int64).max

@@ -164,15 +164,25 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(first) else np.zeros(0, dtype=np.int64)
 
 
+def _names(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of stretches that stand one after the other; a part at a time, as sums take 40 bytes for one of text."""
+    ends, made, at = np.cumsum(lengths), [], 0
+    while at < len(lengths):
+        first = int(ends[at] - lengths[at])
+        upto = max(at + 1, int(np.searchsorted(ends, first + (1 << 20))))
+        starts = ends[at:upto] - lengths[at:upto] - first
+        rolling = B.Rolling(data[first : int(ends[upto - 1])].astype(np.uint64) + np.uint64(1))
+        made.append(rolling.of(starts, starts + lengths[at:upto]) ^ lengths[at:upto].astype(np.uint64))
+        at = upto
+    return np.concatenate(made) if made else np.zeros(0, dtype=np.uint64)
+
+
 def _solve(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
     """For each block's stretches: a bit for each window, whether a smaller document has it."""
     docs = np.concatenate([x[0].view(np.int64) for x in asked])
     lengths = np.concatenate([x[1] for x in asked]).astype(np.int64)
+    name = np.concatenate([_names(x[2], x[1].astype(np.int64)) for x in asked])
     data = np.concatenate([x[2] for x in asked])
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    rolling = B.Rolling(data.astype(np.uint64) + np.uint64(1))
-    name = rolling.of(starts[:-1], starts[1:]) ^ lengths.astype(np.uint64)
-    del rolling
     # equal stretches once, for their smallest document
     order = np.lexsort((docs, name))
     head = np.concatenate(([True], name[order][1:] != name[order][:-1]))
@@ -182,6 +192,9 @@ def _solve(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
     keep = np.zeros(len(docs), dtype=bool)
     keep[chosen] = True
     text = data[np.repeat(keep, lengths)].tobytes()
+    del data
+    for x in asked:
+        x[2] = x[2][:0]
     chosen = np.flatnonzero(keep)  # as they stand in the text
     rank = np.empty(len(chosen), dtype=np.int64)
     rank[stands[chosen]] = np.arange(len(chosen))
