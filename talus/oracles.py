@@ -123,13 +123,13 @@ SQL: dict[str, str] = {
     "flip_horz": f"WITH {dem()} SELECT (63 - x)::INT AS x, y, z FROM dem",
     "transpose": f"WITH {dem()} SELECT y AS x, x AS y, z FROM dem",
     "crop": f"WITH {dem()} SELECT (x - 10)::INT AS x, (y - 20)::INT AS y, z FROM dem WHERE x BETWEEN 10 AND 29 AND y BETWEEN 20 AND 34",
-    "expand": f"WITH {dem()} SELECT gx::INT AS x, gy::INT AS y, CASE WHEN dem.x IS NULL THEN -1.0 ELSE z END AS z FROM range(80) a(gx) CROSS JOIN range(70) b(gy) LEFT JOIN dem ON dem.x = gx AND dem.y = gy",
+    "expand": f"WITH {dem()} SELECT gx::INT AS x, gy::INT AS y, CASE WHEN dem.x IS NULL THEN -1e0 ELSE z END AS z FROM range(80) a(gx) CROSS JOIN range(70) b(gy) LEFT JOIN dem ON dem.x = gx AND dem.y = gy",
     "edge_cells": f"WITH {dem()} SELECT x, y, (y * 64 + x)::BIGINT AS i, x IN (0, 63) AND y IN (0, 63) AS corner FROM dem WHERE NOT ({inner()})",
     "set_edges": f"WITH {dem()} SELECT x, y, CASE WHEN {inner()} THEN z ELSE -5.0 END AS z FROM dem",
     "row_col_vectors": f"WITH {dem()} SELECT 'row' AS kind, array_to_string(list(z::INT ORDER BY x), ',') AS values FROM dem WHERE y = 5 UNION ALL SELECT 'col', array_to_string(list(z::INT ORDER BY y), ',') FROM dem WHERE x = 9",
     "compare_diff": f"WITH {dem()} SELECT x, y, z AS \"left\", z * 2 AS \"right\" FROM dem WHERE z > 90",
     "diff_stats": f"WITH {dem()} SELECT count(*)::BIGINT AS n, min(d) AS min_diff, max(d) AS max_diff, round(avg(d), 6) AS mean_diff, round(sqrt(avg(d * d)), 6) AS rms_diff FROM (SELECT z - z * z AS d FROM dem)",
-    "geo": f"WITH {dem()} SELECT x, y, 100.0 + x * 2.0 AS gx, 50.0 - y * 3.0 AS gy FROM dem",
+    "geo": f"WITH {dem()} SELECT x, y, 100e0 + x * 2e0 AS gx, 50e0 - y * 3e0 AS gy FROM dem",
     "surface_area": f"WITH {stencil()}, tri(dn, dnz, sn, lx, ly) AS (VALUES (1,'a','d',1,1)) SELECT round(sum(total), 4) AS area, count(*)::DOUBLE AS planar_area FROM (SELECT x, y, " + " + ".join(f"sqrt(greatest((p{k}+q{k}+r{k})/2*((p{k}+q{k}+r{k})/2-p{k})*((p{k}+q{k}+r{k})/2-q{k})*((p{k}+q{k}+r{k})/2-r{k}),0))" for k in range(8)) + " AS total FROM (SELECT x, y, " + ", ".join(f"sqrt(2+pow({dn}-e,2))/2 AS p{k}, sqrt(1+pow({sn}-e,2))/2 AS q{k}, sqrt(1+pow({sn}-{dn},2))/2 AS r{k}" for k, (dn, sn) in enumerate([("a", "d"), ("a", "b"), ("c", "b"), ("c", "f"), ("i", "f"), ("i", "h"), ("g", "h"), ("g", "d")])) + " FROM st))",
     "perimeter_edge": f"WITH {dem(128)}, {STEPS} SELECT count(*)::DOUBLE AS perimeter FROM dem q CROSS JOIN steps LEFT JOIN dem b ON b.x = q.x + dx AND b.y = q.y + dy WHERE n % 2 = 1 AND b.z IS NULL",
     "perimeter_count": f"WITH {dem(128)} SELECT count(*)::DOUBLE AS perimeter FROM dem WHERE NOT ({inner(128)})",
@@ -141,7 +141,7 @@ SQL: dict[str, str] = {
     "fa_weighted": f"WITH RECURSIVE {edges('d8')}, {accumulated('z')} SELECT x, y, round(a, 6) AS a FROM acc",
     "d8_area": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64)}, {accumulated()} SELECT x, y, a FROM acc",
     "dinf_area": f"WITH RECURSIVE {dinf()}, turns AS (SELECT x, y, z / (pi()/4) AS t FROM angles WHERE z <> 0), shares AS (SELECT x, y, round(t)::INT AS k, 1.0 AS p FROM turns WHERE abs(t - floor(t)) < 1e-6 UNION ALL SELECT x, y, floor(t)::INT + 1, floor(t) + 1 - t FROM turns WHERE abs(t - floor(t)) >= 1e-6 UNION ALL SELECT x, y, floor(t)::INT, t - floor(t) FROM turns WHERE abs(t - floor(t)) >= 1e-6), eighths(k, dx, dy) AS (VALUES (0,1,0),(1,1,-1),(2,0,-1),(3,-1,-1),(4,-1,0),(5,-1,1),(6,0,1),(7,1,1),(8,1,0)), edges AS MATERIALIZED (SELECT x, y, x + dx AS nx, y + dy AS ny, p FROM shares JOIN eighths USING (k) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63), {accumulated(source='angles')} SELECT acc.x, acc.y, CASE WHEN z = 0 AND (acc.x, acc.y) NOT IN (SELECT (nx, ny) FROM edges) THEN 0.0 ELSE round(a, 6) END AS a FROM acc JOIN angles USING (x, y)",
-    "upslope": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64)}, line AS (SELECT x, 40 AS y FROM range(30, 51) t(x)), up AS (SELECT x, y FROM line UNION SELECT e.x, e.y FROM up JOIN edges e ON e.nx = up.x AND e.ny = up.y) SELECT dem.x, dem.y, CASE WHEN line.x IS NOT NULL THEN 2.0 WHEN up.x IS NOT NULL THEN 1.0 END AS z FROM dem LEFT JOIN up USING (x, y) LEFT JOIN line USING (x, y)",
+    "upslope": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64)}, line AS (SELECT x, 40 AS y FROM range(30, 51) t(x)), up AS (SELECT x, y FROM line UNION SELECT e.x, e.y FROM up JOIN edges e ON e.nx = up.x AND e.ny = up.y) SELECT dem.x, dem.y, CASE WHEN line.x IS NOT NULL THEN 2e0 WHEN up.x IS NOT NULL THEN 1e0 END AS z FROM dem LEFT JOIN up USING (x, y) LEFT JOIN line USING (x, y)",
     "spi": f"WITH RECURSIVE {edges('d8')}, {accumulated()}, st AS (SELECT x, y, " + ", ".join(f"coalesce(max(nz) FILTER (n = {k}), z) AS {v}" for k, v in {2: 'a', 3: 'b', 4: 'c', 1: 'd', 5: 'f', 8: 'g', 7: 'h', 6: 'i'}.items()) + " FROM near GROUP BY x, y, z) SELECT x, y, round(ln(acc.a * (sqrt(pow(((c+2*f+i)-(st.a+2*d+g))/8, 2) + pow(((g+2*h+i)-(st.a+2*b+c))/8, 2)) + 0.001)), 6) + 0.0 AS z FROM acc JOIN st USING (x, y)",
     "cti": f"WITH RECURSIVE {edges('d8')}, {accumulated()}, st AS (SELECT x, y, " + ", ".join(f"coalesce(max(nz) FILTER (n = {k}), z) AS {v}" for k, v in {2: 'a', 3: 'b', 4: 'c', 1: 'd', 5: 'f', 8: 'g', 7: 'h', 6: 'i'}.items()) + " FROM near GROUP BY x, y, z) SELECT x, y, round(ln(acc.a / (sqrt(pow(((c+2*f+i)-(st.a+2*d+g))/8, 2) + pow(((g+2*h+i)-(st.a+2*b+c))/8, 2)) + 0.001)), 6) + 0.0 AS z FROM acc JOIN st USING (x, y)",
     "find_flats": f"WITH {_FLATS} SELECT x, y, flat AS z FROM flat",
