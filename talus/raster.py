@@ -71,7 +71,7 @@ class Raster:
         """A small raster as an array; for windows and tests."""
         import numpy as np
 
-        out = np.full((self.meta.height, self.meta.width), self.meta.no_data)
+        out = np.full((self.meta.height, self.meta.width), float(self.meta.no_data))
         for x, y, z in self.cells.select("x", "y", "z").where("z IS NOT NULL").toPandas().itertuples(index=False):
             out[y, x] = z
         return out
