@@ -83,8 +83,9 @@ def dinf(width: int = 64) -> str:
     return f"{dem(width)}, {STEPS}, {around(width)}, {facets}, {pairs}, {best}, angles AS MATERIALIZED (SELECT x, y, coalesce({out}, angle, 0.0) AS z FROM (SELECT x, y, {edge_code(width)} AS code FROM dem) LEFT JOIN best USING (x, y))"
 
 
-def _d8_edges(width: int) -> str:
-    return f"edges AS MATERIALIZED (SELECT x, y, x + dx AS nx, y + dy AS ny, 1.0::DOUBLE AS p FROM dirs JOIN steps ON n = z WHERE x + dx BETWEEN 0 AND {width - 1} AND y + dy BETWEEN 0 AND {width - 1} AND (x + dx, y + dy) IN (SELECT (x, y) FROM dem))"
+def _d8_edges(width: int, onto_data: bool = True) -> str:
+    data = "AND (x + dx, y + dy) IN (SELECT (x, y) FROM dem)" if onto_data else ""
+    return f"edges AS MATERIALIZED (SELECT x, y, x + dx AS nx, y + dy AS ny, 1.0::DOUBLE AS p FROM dirs JOIN steps ON n = z WHERE x + dx BETWEEN 0 AND {width - 1} AND y + dy BETWEEN 0 AND {width - 1} {data})"
 
 
 def _attribute(expr: str, name: str, width: int = 64) -> str:
@@ -141,7 +142,7 @@ SQL: dict[str, str] = {
     "fa_weighted": f"WITH RECURSIVE {edges('d8')}, {accumulated('z')} SELECT x, y, round(a, 6) AS a FROM acc",
     "d8_area": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64)}, {accumulated()} SELECT x, y, a FROM acc",
     "dinf_area": f"WITH RECURSIVE {dinf()}, turns AS (SELECT x, y, z / (pi()/4) AS t FROM angles WHERE z <> 0), shares AS (SELECT x, y, round(t)::INT AS k, 1.0 AS p FROM turns WHERE abs(t - floor(t)) < 1e-6 UNION ALL SELECT x, y, floor(t)::INT + 1, floor(t) + 1 - t FROM turns WHERE abs(t - floor(t)) >= 1e-6 UNION ALL SELECT x, y, floor(t)::INT, t - floor(t) FROM turns WHERE abs(t - floor(t)) >= 1e-6), eighths(k, dx, dy) AS (VALUES (0,1,0),(1,1,-1),(2,0,-1),(3,-1,-1),(4,-1,0),(5,-1,1),(6,0,1),(7,1,1),(8,1,0)), edges AS MATERIALIZED (SELECT x, y, x + dx AS nx, y + dy AS ny, p FROM shares JOIN eighths USING (k) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63), {accumulated(source='angles')} SELECT acc.x, acc.y, CASE WHEN z = 0 AND (acc.x, acc.y) NOT IN (SELECT (nx, ny) FROM edges) THEN 0.0 ELSE round(a, 6) END AS a FROM acc JOIN angles USING (x, y)",
-    "upslope": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64)}, line AS (SELECT x, 40 AS y FROM range(30, 51) t(x)), up AS (SELECT x, y FROM line UNION SELECT e.x, e.y FROM up JOIN edges e ON e.nx = up.x AND e.ny = up.y) SELECT dem.x, dem.y, CASE WHEN line.x IS NOT NULL THEN 2e0 WHEN up.x IS NOT NULL THEN 1e0 END AS z FROM dem LEFT JOIN up USING (x, y) LEFT JOIN line USING (x, y)",
+    "upslope": f"WITH RECURSIVE {directions(64, 10)}, {_d8_edges(64, False)}, line AS (SELECT x, 40 AS y FROM range(30, 51) t(x)), up AS (SELECT x, y FROM line UNION SELECT e.x, e.y FROM up JOIN edges e ON e.nx = up.x AND e.ny = up.y) SELECT dem.x, dem.y, CASE WHEN line.x IS NOT NULL THEN 2e0 WHEN up.x IS NOT NULL THEN 1e0 END AS z FROM dem LEFT JOIN up USING (x, y) LEFT JOIN line USING (x, y)",
     "spi": f"WITH RECURSIVE {edges('d8')}, {accumulated()}, st AS (SELECT x, y, " + ", ".join(f"coalesce(max(nz) FILTER (n = {k}), z) AS {v}" for k, v in {2: 'a', 3: 'b', 4: 'c', 1: 'd', 5: 'f', 8: 'g', 7: 'h', 6: 'i'}.items()) + " FROM near GROUP BY x, y, z) SELECT x, y, round(ln(acc.a * (sqrt(pow(((c+2*f+i)-(st.a+2*d+g))/8, 2) + pow(((g+2*h+i)-(st.a+2*b+c))/8, 2)) + 0.001)), 6) + 0.0 AS z FROM acc JOIN st USING (x, y)",
     "cti": f"WITH RECURSIVE {edges('d8')}, {accumulated()}, st AS (SELECT x, y, " + ", ".join(f"coalesce(max(nz) FILTER (n = {k}), z) AS {v}" for k, v in {2: 'a', 3: 'b', 4: 'c', 1: 'd', 5: 'f', 8: 'g', 7: 'h', 6: 'i'}.items()) + " FROM near GROUP BY x, y, z) SELECT x, y, round(ln(acc.a / (sqrt(pow(((c+2*f+i)-(st.a+2*d+g))/8, 2) + pow(((g+2*h+i)-(st.a+2*b+c))/8, 2)) + 0.001)), 6) + 0.0 AS z FROM acc JOIN st USING (x, y)",
     "find_flats": f"WITH {_FLATS} SELECT x, y, flat AS z FROM flat",
