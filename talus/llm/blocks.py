@@ -97,9 +97,9 @@ def read_rows(rest: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(rest).read_next_batch()
 
 
-def buckets_for(blocks: DataFrame) -> int:
+def buckets_for(blocks: DataFrame, each: int = BUCKET_BYTES) -> int:
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // BUCKET_BYTES))
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // each))
 
 
 # --- hashes of runs of units ---------------------------------------------

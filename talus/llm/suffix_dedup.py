@@ -38,6 +38,8 @@ from talus.llm import blocks as B
 WINDOW, ANCHOR = 50, 20
 #: Differences of these residues give every residue modulo PERIOD.
 COVER, PERIOD = (0, 1, 3, 9), 13
+#: Raw text behind one bucket of stretches: sorting takes some 80 bytes for each window in it.
+SORT_BYTES = 4 << 20
 #: Suffixes sorted at a time.
 AT_ONCE = 1 << 18
 
@@ -205,17 +207,15 @@ def _solve(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
     least = owners(text, at, np.repeat(docs[chosen], count), window)
     first = np.concatenate(([0], np.cumsum(count)))
     windows = lengths - window + 1
-    bits = least[_spread(first[stands], windows)] < np.repeat(docs, windows)
-    cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
-    ends = np.concatenate(([0], np.cumsum(windows)))
-    edges = [0, *ends[cuts].tolist(), int(ends[-1])]
-    return [bits[a:b] for a, b in zip(edges, edges[1:])]
+    cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
+    # a block at a time: positions take many times the memory of the bits
+    return [least[_spread(first[stands[a:b]], windows[a:b])] < np.repeat(docs[a:b], windows[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 class _Stretches:
     """The stretches of a block around shared anchors, equal ones once."""
 
-    def __init__(self, block: B.Block, met: list | None, buckets: int, window: int, anchor: int):
+    def __init__(self, block: B.Block, met: list | None, buckets: int, fine: int, window: int, anchor: int):
         data = np.frombuffer(block.data, np.uint8)
         rolling = B.Rolling(data.astype(np.uint64) + np.uint64(1))
         runs = B.winnow(rolling, block.starts, anchor, window)
@@ -223,7 +223,7 @@ class _Stretches:
         self.first, self.last = runs.first[shared], runs.last[shared]
         self.doc = block.ids[runs.doc[shared]]
         self.lengths = self.last - self.first + window
-        bucket = B.bucket_of(runs.key[shared], buckets)
+        bucket = B.bucket_of(runs.key[shared], fine)
         name = rolling.of(self.first, self.last + window) ^ self.lengths.astype(np.uint64) if len(self.first) else np.zeros(0, dtype=np.uint64)
         order = np.lexsort((self.doc, name, bucket))
         head = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))) if len(order) else np.zeros(0, dtype=bool)
@@ -245,7 +245,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
     kept and spans are null when `with_bytes` is false.
     """
     packed = B.packed(documents)
-    buckets = B.buckets_for(packed)
+    buckets, fine = B.buckets_for(packed), B.buckets_for(packed, SORT_BYTES)
 
     def seeds(number: int, block: B.Block) -> Iterator[tuple]:
         rolling = B.Rolling(np.frombuffer(block.data, np.uint8).astype(np.uint64) + np.uint64(1))
@@ -254,7 +254,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
         yield from B.ask(number, runs.key, block.ids[runs.doc], buckets, smaller=False)
 
     def send(number: int, block: B.Block, met: list | None) -> Iterator[tuple]:
-        found = _Stretches(block, met, buckets, window, anchor)
+        found = _Stretches(block, met, buckets, fine, window, anchor)
         for b, own in found.groups():
             text = found.data[_spread(found.first[own], found.lengths[own])]
             yield b, number, B.squeeze(found.doc[own], found.lengths[own].astype(np.uint32), text)
@@ -264,7 +264,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
     def remove(number: int, block: B.Block, met: list | None, owned: list | None) -> Iterator[tuple]:
-        found = _Stretches(block, met, buckets, window, anchor)
+        found = _Stretches(block, met, buckets, fine, window, anchor)
         size = len(block.data)
         change = np.zeros(size + 1, dtype=np.int64)
         told = {x["bucket"]: x["bits"] for x in owned or ()}
