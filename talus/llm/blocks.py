@@ -173,7 +173,8 @@ def winnow(rolling: Rolling, starts: np.ndarray, gram: int, window: int) -> Runs
     anchor = (best[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     change = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(doc) != 0)) + 1
     head, tail = np.concatenate(([0], change)), np.concatenate((change - 1, [len(at) - 1]))
-    return Runs(at[head], at[tail], doc[head], grams[anchor[head]] >> np.uint64(64 - KEY_BITS))
+    # minima lie low: mixed once more, so that ranges of keys are even
+    return Runs(at[head], at[tail], doc[head], mix(~grams[anchor[head]]) >> np.uint64(64 - KEY_BITS))
 
 
 # --- packed arrays ----------------------------------------------------------
