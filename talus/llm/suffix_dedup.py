@@ -11,7 +11,8 @@ positions (4 of 13 residues) get ranks first; then one block of suffixes with
 neighbouring prefixes at a time is sorted by its first 16 bytes, and longer
 ties are settled by the ranks at the offset where both suffixes meet the cover.
 Only one block's keys are held besides the text and the ranks, so memory is
-bounded by the bucket, and buckets are bounded whatever the corpus. Windows of
+bounded by the bucket. Buckets are even but for an anchor whose surroundings
+differ in very many documents: it is one bucket, which grows with them. Windows of
 equal bytes are then neighbours, and the smallest doc_id of each run owns it.
 
 Scale: see `blocks`. Shuffled are the blocks once (compressed), about 4 bytes
