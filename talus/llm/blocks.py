@@ -60,10 +60,11 @@ class Block:
         return Block(ids, np.concatenate(([0], np.cumsum(lengths))), raw[8 + 16 * n :])
 
 
-def packed(documents: DataFrame, carry: bool = False) -> DataFrame:
+def packed(documents: DataFrame, carry: bool = False, deal: bool = True) -> DataFrame:
     """block (long), raw (bytes of text), payload, rest; partitioned by block and checkpointed.
 
     rest has the documents' rows without their texts (compressed Arrow) if `carry`, else nothing.
+    Without `deal` the blocks stay where they were read.
     """
     ensure_checkpoints(documents.sparkSession)
 
@@ -80,6 +81,8 @@ def packed(documents: DataFrame, carry: bool = False) -> DataFrame:
 
     rows = documents if carry else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(run, "block long, raw long, payload binary, rest binary")
+    if not deal:
+        return made.checkpoint()
     return made.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").checkpoint()
 
 

@@ -5,157 +5,171 @@ a vocabulary, an order and a smoothing. A document's score is the mean over its
 tokens of the loss under the target model less the loss under the background
 model: the lower, the more it is like the target.
 
-The background counts every bigram of every document; counts are merged within
-a task, then by key. The vocabulary is the `words` most frequent words of the
-corpus and a class for the rest, so a model has at most (words + 2)**2 pairs
-(2.3 million here, 9 MB as a dense table) whatever the corpus: that bounds both
-what the driver collects and what it broadcasts. The target is fitted on at
-most `max_trusted` labelled documents, those with the smallest hash of their id.
+Every word and every bigram of every document counts; the tables grow with the
+corpus and stay on the cluster. Documents are packed into blocks (see
+`blocks`). A block sends each of its words and bigrams once, as a 56-bit hash
+with its counts, to a bucket of hashes; a bucket adds up what all blocks sent
+and answers each block in the order of its hashes, so a bigram that all
+documents have costs an entry per block. The driver sees six sums.
+
+The probability of word w after c is BIGRAM * n(c, w) / n(c) plus (1 - BIGRAM)
+times the unigram (n(w) + 1) / (tokens + distinct words of the corpus), and the
+unigram alone after a c that the model has not seen. A start stands before each
+document; it is a context, never a word.
+
+Two of n distinct n-grams clash with probability n**2 / 2**57, and then share
+their counts: some 10 of 10**9 would.
 
 Defined cases: null, empty and blank texts have no tokens and score 0; without
 trusted documents every score is 0; repeated rows are counted and scored as
-often as they stand; equally frequent words are taken in their byte order;
-extra columns are not read.
+often as they stand; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import col, slices, text_bytes
+from talus.llm import blocks as B
 
-WORDS, MAX_TRUSTED = 1500, 20_000
+MAX_TRUSTED = 20_000
 #: Share of the bigram estimate; the rest goes to the unigram.
 BIGRAM = 0.6
-#: Distinct words or pairs that a task holds before it passes its counts on.
-MAX_HELD = 300_000
-
-
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
+#: Stands for the start of a document among the hashes of words.
+START = np.uint64(0x53544152545354)
+KEY_BITS = 56
 
-def vocabulary(documents: DataFrame, words: int = WORDS) -> list[bytes]:
-    """The most frequent words of the whole corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that some label calls good and none calls bad or toxic."""
+    judged = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return judged.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return made
 
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                for text in text_bytes(col(batch, "text")):
-                    held.update(text.lower().split())
-                if len(held) > MAX_HELD:
-                    yield out()
-        yield out()
+def _flagged(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The blocks with the ids of their trusted documents (good)."""
 
-    counts = _texts(documents).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    def ids(number: int, block: B.Block) -> Iterator[tuple]:
+        for i in np.unique(block.ids[block.ids != B.NO_ID]).tolist():
+            yield number, i
 
+    held = B.over_blocks(packed, ids, "block long, doc_id long", ["block", "doc_id"])
+    good = held.join(trusted(labels), "doc_id").groupBy("block").agg(F.collect_list("doc_id").alias("good")).checkpoint()
+    return packed.join(good, "block", "left")
 
-class Codes:
-    """Words as numbers: 0 for the rest, 1.. for the vocabulary, the last for a start."""
 
-    def __init__(self, words: list[bytes]):
-        self.id = {w: i + 1 for i, w in enumerate(words)}
-        self.size = len(words) + 2
+class Grams:
+    """Distinct words (the start among them) and bigrams of a block, in the order of their hashes, with counts."""
 
-    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all pairs, a start before each text, and how many each text has."""
-        get, start = self.id.get, self.size - 1
+    def __init__(self, block: B.Block, good: list[int] | None):
+        number: dict[bytes, int] = {}
         flat: list[int] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            words = text.lower().split()
-            counts[i] = len(words)
+        self.counts = np.zeros(len(block.ids), dtype=np.int64)
+        for i in range(len(block.ids)):
+            words = block.data[block.starts[i] : block.starts[i + 1]].lower().split()
+            self.counts[i] = len(words)
             if words:
-                flat.append(start)
-                flat.extend([get(w, 0) for w in words])
+                flat.append(0)
+                flat.extend([number.setdefault(w, len(number) + 1) for w in words])
         ids = np.array(flat, dtype=np.int64)
-        if not len(ids):
-            return ids, counts
-        codes = ids[:-1] * self.size + ids[1:]
-        return codes[ids[1:] != start], counts
-
-
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> set[int]:
-    """Documents that some label calls good and none calls bad or toxic."""
-    judged = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = judged.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    return {r["doc_id"] for r in good.collect()}
-
-
-def pair_counts(documents: DataFrame, words: list[bytes], trusted: set[int]) -> DataFrame:
-    """pair, raw (in all documents), good (in trusted ones)."""
-    held = documents.sparkSession.sparkContext.broadcast((Codes(words), np.array(sorted(trusted), dtype=np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, good = held.value
-        raw, own = np.zeros(codes.size**2, dtype=np.int32), np.zeros(codes.size**2, dtype=np.int32)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                pairs, counts = codes.pairs(text_bytes(col(batch, "text")))
-                once, n = np.unique(pairs, return_counts=True)
-                raw[once] += n.astype(np.int32)
-                ids = np.array([-1 if i is None else i for i in col(batch, "doc_id").to_pylist()], dtype=np.int64)
-                once, n = np.unique(pairs[np.repeat(np.isin(ids, good), counts)], return_counts=True)
-                own[once] += n.astype(np.int32)
-        some = np.flatnonzero(raw)
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(raw[part].astype(np.int64)), pa.array(own[part].astype(np.int64))], names=["pair", "raw", "good"])
-
-    return _texts(documents).mapInArrow(run, "pair int, raw long, good long").groupBy("pair").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-
-
-def losses(pairs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Loss (nats) of each pair of the dense table, bigrams mixed with add-one unigrams."""
-    table = np.zeros(size * size)
-    table[pairs] = counts
-    table = table.reshape(size, size)
-    unigram = table.sum(axis=0) + 1
-    unigram[size - 1] = 0  # a start is never predicted
-    unigram /= unigram.sum()
-    context = table.sum(axis=1, keepdims=True)
-    mixed = np.where(context > 0, BIGRAM * table / np.maximum(context, 1) + (1 - BIGRAM) * unigram, unigram)
-    mixed[:, size - 1] = 1
-    return -np.log(mixed).ravel()
-
-
-def difference(documents: DataFrame, labels: DataFrame, words: int = WORDS, max_trusted: int = MAX_TRUSTED) -> tuple[Codes, np.ndarray]:
-    """The vocabulary's codes and the loss difference (target less background) of each pair."""
-    chosen = vocabulary(documents, words)
-    codes = Codes(chosen)
-    counted = pair_counts(documents, chosen, trusted_ids(labels, max_trusted)).toArrow()
-    pairs, raw, good = (counted.column(c).to_numpy() for c in ("pair", "raw", "good"))
-    if not good.sum():
-        return codes, np.zeros(codes.size**2, dtype=np.float32)
-    return codes, (losses(pairs, good, codes.size) - losses(pairs, raw, codes.size)).astype(np.float32)
-
-
-def score(documents: DataFrame, labels: DataFrame, words: int = WORDS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+        hashes = np.array([int(START) << 8, *map(xxhash.xxh64_intdigest, number)], dtype=np.uint64) >> np.uint64(64 - KEY_BITS)
+        after = np.flatnonzero(ids)
+        word, context = ids[after], ids[after - 1]
+        weight = np.repeat(np.isin(block.ids, np.array(good or [], dtype=np.int64)), self.counts).astype(np.float64)
+        n = len(hashes)
+        order = np.argsort(hashes)
+        self.words = hashes[order]
+        self.word_counts = [np.bincount(x, w, minlength=n)[order].astype(np.uint32) for x, w in ((word, None), (context, None), (word, weight), (context, weight))]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        pairs, where = np.unique(rank[context] * n + rank[word], return_inverse=True)
+        first, second = pairs // n, pairs % n
+        keys = B.mix(B.mix(self.words[first]) * np.uint64(3) + self.words[second]) >> np.uint64(64 - KEY_BITS)
+        order = np.argsort(keys, kind="stable")
+        back = np.empty(len(pairs), dtype=np.int64)
+        back[order] = np.arange(len(pairs))
+        #: Of each token, the place of its bigram; of each bigram, the places of its words.
+        self.token, self.first, self.second = back[where], first[order], second[order]
+        self.pairs = keys[order]
+        self.pair_counts = [np.bincount(self.token, w, minlength=len(pairs)).astype(np.uint32) for w in (None, weight)]
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(KEY_BITS - 31)).astype(np.int64) * buckets) >> 31
+
+
+def _ask(kind: int, block: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    bucket = _bucket_of(keys, buckets)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield kind, int(bucket[a]), block, B.squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts))
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Answers a bucket's questions: the sums of the counts of each key, in the block's order. The first row has the bucket's totals."""
+    asked = [B.stretch(x) for x in table.column("payload").to_pylist()]
+    keys = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
+    flat = np.concatenate(keys)
+    once, where = np.unique(flat, return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([x[k] for x in asked])).astype(np.uint64) for k in range(1, len(asked[0]))]
+    ends = np.cumsum([0, *map(len, keys)])
+    out = [B.squeeze(*(s[where[a:b]] for s in sums)) for a, b in zip(ends[:-1], ends[1:])]
+    rest = [0] * (len(asked) - 1)
+    totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[2].sum())] if len(sums) == 4 else [0, 0, 0]
+    made = {"kind": table.column("kind"), "bucket": table.column("bucket"), "block": table.column("block"), "payload": pa.array(out, pa.binary())}
+    return pa.table(made | {c: pa.array([x, *rest], pa.int64()) for c, x in zip(("distinct", "tokens", "good_tokens"), totals)})
+
+
+def _read(keys: np.ndarray, n: int, kind: int, buckets: int, answers: list[dict] | None) -> list[np.ndarray]:
+    bucket = _bucket_of(keys, buckets)
+    out = [np.zeros(len(keys)) for _ in range(n)]
+    for x in answers or ():
+        if x["kind"] == kind:
+            a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+            for to, part in zip(out, B.stretch(x["payload"])):
+                to[a:b] = part
+    return out
+
+
+def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Loss (nats) of each bigram."""
+    unigram = (word + 1) / (total + distinct)
+    return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * unigram, unigram))
+
+
+def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score of every row."""
-    held = documents.sparkSession.sparkContext.broadcast(difference(documents, labels, words, max_trusted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, table = held.value
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                pairs, counts = codes.pairs(text_bytes(col(batch, "text")))
-                total = np.concatenate(([0.0], np.cumsum(table[pairs], dtype=np.float64)))
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                mean = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(counts, 1)
-                yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(counts), pa.array(mean)], names=["doc_id", "n_tokens", "score"])
-
-    return _texts(documents).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    packed = B.packed(documents, deal=False)
+    buckets = B.buckets_for(packed)
+    flagged = _flagged(packed, labels)
+
+    def count(number: int, block: B.Block, good: list | None) -> Iterator[tuple]:
+        grams = Grams(block, good)
+        yield from _ask(0, number, grams.words, grams.word_counts, buckets)
+        yield from _ask(1, number, grams.pairs, grams.pair_counts, buckets)
+
+    asked = B.over_blocks(flagged, count, "kind int, bucket long, block long, payload binary", ["kind", "bucket", "block", "payload"], "good")
+    summed = asked.groupBy("kind", "bucket").applyInArrow(_sums, "kind int, bucket long, block long, payload binary, distinct long, tokens long, good_tokens long").checkpoint()
+    distinct, tokens, good_tokens = (x or 0 for x in summed.agg(F.sum("distinct"), F.sum("tokens"), F.sum("good_tokens")).first())
+    answers = summed.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("answers"))
+
+    def rate(number: int, block: B.Block, good: list | None, answers: list | None) -> Iterator[tuple]:
+        grams = Grams(block, good)
+        raw_word, raw_context, good_word, good_context = _read(grams.words, 4, 0, buckets, answers)
+        raw, own = _read(grams.pairs, 2, 1, buckets, answers)
+        first, second = grams.first, grams.second
+        gain = np.zeros(len(raw))
+        if good_tokens:
+            gain = _loss(own, good_context[first], good_word[second], good_tokens, distinct) - _loss(raw, raw_context[first], raw_word[second], tokens, distinct)
+        total = np.concatenate(([0.0], np.cumsum(gain[grams.token])))
+        ends = np.concatenate(([0], np.cumsum(grams.counts)))
+        mean = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(grams.counts, 1)
+        for i, n, x in zip(block.ids.tolist(), grams.counts.tolist(), mean.tolist()):
+            yield None if i == B.NO_ID else i, n, x
+
+    return B.over_blocks(flagged.join(answers, "block", "left"), rate, "doc_id long, n_tokens long, score double", ["doc_id", "n_tokens", "score"], "good", "answers")
