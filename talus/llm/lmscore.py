@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from talus.llm import blocks as B
 
-MAX_TRUSTED = 20_000
 #: Share of the bigram estimate; the rest goes to the unigram.
 BIGRAM = 0.6
 #: Stands for the start of a document among the hashes of words.
@@ -48,7 +47,7 @@ KEY_BITS = 56
 def trusted(labels: DataFrame) -> DataFrame:
     """doc_id of the documents that some label calls good and none calls bad or toxic."""
     judged = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return judged.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
+    return judged.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
 def _flagged(packed: DataFrame, labels: DataFrame) -> DataFrame:

@@ -51,3 +51,8 @@ def test_every_word_counts(spark):
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
     score = {d: s for d, _, s in got}
     assert score[200] == score[202] < score[201]
+
+
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert lmscore.trusted(labels).count() == 25_000
