@@ -11,8 +11,9 @@ whatever the content, and a key that a third of all documents hold costs one
 entry per block, not per document. Answers come back as bits in the order the
 block sent its keys.
 
-Exactness: keys only choose candidates; what they let through is compared by
-content afterwards, so a clash of keys costs time and never a wrong answer.
+Exactness: where keys only choose candidates, a clash costs time and never a
+wrong answer. Where an answer decides by itself, as for windows of words, a
+second independent hash of 64 bits goes with each key and is compared too.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ KEY_BITS = 48
 NO_ID = np.iinfo(np.int64).max
 
 _ODD = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 @dataclass
@@ -119,16 +119,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any run of units by prefix sums of a polynomial, modulo 2**64."""
+    """Hashes of any run of units by prefix sums of a polynomial in `odd`, modulo 2**64."""
 
-    def __init__(self, units: np.ndarray):
+    def __init__(self, units: np.ndarray, odd: int = _ODD):
         n = len(units)
-        power = np.full(n + 1, _ODD, dtype=np.uint64)
+        power = np.full(n + 1, odd, dtype=np.uint64)
         power[0] = 1
         np.cumprod(power, out=power)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(units * power[:n], out=self.sums[1:])
-        self.back = np.full(n + 1, _INVERSE, dtype=np.uint64)
+        self.back = np.full(n + 1, pow(odd, -1, 1 << 64), dtype=np.uint64)
         self.back[0] = 1
         np.cumprod(self.back, out=self.back)
 
@@ -208,20 +208,32 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 31)).astype(np.int64) * buckets) >> 31
 
 
-def ask(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, smaller: bool) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, block, payload) rows: each key once, with its smallest document or whether it has two."""
+def order_of(keys: np.ndarray, check: np.ndarray | None, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, second hash (if there is one) and what else; and where a new content begins in it."""
+    by = [keys] if check is None else [keys, check]
+    order = np.lexsort((*then, *reversed(by)))
+    new = np.ones(len(keys), dtype=bool)
+    if len(keys):
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in by])
+    return order, new
+
+
+def ask(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, smaller: bool, check: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, block, payload) rows: each key (with its second hash) once, with its smallest document or whether it has two."""
     if not len(keys):
         return
-    order = np.lexsort((docs, keys))
+    order, new = order_of(keys, check, docs)
     keys, docs = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    head = np.flatnonzero(new)
+    seconds = None if check is None else check[order][head]
     tail = np.concatenate((head[1:], [len(keys)])) - 1
     once, least, most = keys[head], docs[head], docs[tail]
     bucket = bucket_of(once, buckets)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(cuts[:-1], cuts[1:]):
         steps = np.diff(once[a:b], prepend=np.uint64(0))
-        yield int(bucket[a]), block, squeeze(steps, least[a:b] if smaller else (most[a:b] != least[a:b]).view(np.uint8))
+        also = () if seconds is None else (seconds[a:b],)
+        yield int(bucket[a]), block, squeeze(steps, least[a:b] if smaller else (most[a:b] != least[a:b]).view(np.uint8), *also)
 
 
 def answer(questions: DataFrame, smaller: bool) -> DataFrame:
@@ -233,10 +245,10 @@ def answer(questions: DataFrame, smaller: bool) -> DataFrame:
         flat = np.concatenate(keys)
         if smaller:
             docs = np.concatenate([x[1] for x in asked]).view(np.int64)
-            order = np.argsort(flat, kind="stable")
-            once, head = np.unique(flat[order], return_index=True)
-            least = np.minimum.reduceat(docs[order], head)
-            bits = [least[np.searchsorted(once, k)] < x[1].view(np.int64) for k, x in zip(keys, asked)]
+            order, new = order_of(flat, np.concatenate([x[2] for x in asked]) if len(asked[0]) > 2 else None)
+            least = np.empty(len(flat), dtype=np.int64)
+            least[order] = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            bits = np.split(least < docs, np.cumsum([len(k) for k in keys])[:-1])
         else:
             twice = np.concatenate([x[1] for x in asked]).astype(bool)
             once, where, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -249,11 +261,13 @@ def answer(questions: DataFrame, smaller: bool) -> DataFrame:
     return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
 
-def read_bits(keys: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
-    """The answer to each key of the block, in any order and with repeats."""
+def read_bits(keys: np.ndarray, buckets: int, answers: list[dict] | None, check: np.ndarray | None = None) -> np.ndarray:
+    """The answer to each key (with its second hash, if it was asked with one) of the block, in any order and with repeats."""
     if not len(keys):
         return np.zeros(0, dtype=bool)
-    once, where = np.unique(keys, return_inverse=True)
+    order, new = order_of(keys, check)
+    once, where = keys[order][new], np.empty(len(keys), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
     bucket, bits = bucket_of(once, buckets), np.zeros(len(once), dtype=bool)
     for x in answers or ():
         a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])

@@ -13,8 +13,8 @@ block however many documents repeat a passage.
 
 Defined cases: null, empty and short texts lose nothing; of repeated rows with
 one doc_id none is smaller than the other; a null doc_id counts as the largest;
-extra columns are not read. Windows are told apart by 64-bit hashes of their
-words with the anchors' and windows' own keys (112 bits in all).
+extra columns are not read. Windows are told apart by a key of 48 bits and a
+second hash of 64 bits, independent from the bytes on (112 bits in all).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from talus.llm import blocks as B
 
 WINDOW, SEED = 50, 25
+_SECOND = 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -51,6 +52,11 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, block.starts)  # first word of each document
         self.hashes = B.Rolling(data.astype(np.uint64) + np.uint64(1)).of(self.start, self.end)
+        self.data = data
+
+    def second(self) -> B.Rolling:
+        """Over other hashes of the words than `hashes`."""
+        return B.Rolling(B.Rolling(B.mix(self.data.astype(np.uint64) + np.uint64(257)), _SECOND).of(self.start, self.end), _SECOND)
 
 
 def _runs(block: B.Block, seed: int, window: int) -> tuple[Words, B.Rolling, B.Runs]:
@@ -70,18 +76,21 @@ def _keys(rolling: B.Rolling, at: np.ndarray, window: int) -> np.ndarray:
     return rolling.of(at, at + window) >> np.uint64(64 - B.KEY_BITS) if len(at) else np.zeros(0, dtype=np.uint64)
 
 
+def _checks(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    return words.second().of(at, at + window) if len(at) else np.zeros(0, dtype=np.uint64)
+
+
 def _mark(block: B.Block, met: list | None, owned: list | None, buckets: int, seed: int, window: int) -> tuple[Words, np.ndarray]:
     """The block's words and which of them stand in a window that a smaller document has."""
     words, rolling, runs = _runs(block, seed, window)
     at, doc = _windows(runs, B.read_bits(runs.key, buckets, met))
-    keys, ids = _keys(rolling, at, window), block.ids[doc]
+    keys, check, ids = _keys(rolling, at, window), _checks(words, at, window), block.ids[doc]
     # the answer is about the key's smallest document in the block; the others are larger than that one
     least = np.empty(len(keys), dtype=np.int64)
     if len(keys):
-        order = np.lexsort((ids, keys))
-        head = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+        order, head = B.order_of(keys, check, ids)
         least[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    gone = at[B.read_bits(keys, buckets, owned) | (least < ids)]
+    gone = at[B.read_bits(keys, buckets, owned, check) | (least < ids)]
     change = np.zeros(len(words.start) + 1, dtype=np.int64)
     np.add.at(change, gone, 1)
     np.add.at(change, gone + window, -1)
@@ -97,9 +106,9 @@ def _asked(packed: DataFrame, window: int, seed: int) -> tuple[DataFrame, int]:
         yield from B.ask(number, runs.key, block.ids[runs.doc], buckets, smaller=False)
 
     def extend(number: int, block: B.Block, met: list | None) -> Iterator[tuple]:
-        _, rolling, runs = _runs(block, seed, window)
+        words, rolling, runs = _runs(block, seed, window)
         at, doc = _windows(runs, B.read_bits(runs.key, buckets, met))
-        yield from B.ask(number, _keys(rolling, at, window), block.ids[doc], buckets, smaller=True)
+        yield from B.ask(number, _keys(rolling, at, window), block.ids[doc], buckets, smaller=True, check=_checks(words, at, window))
 
     met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), smaller=False).withColumnRenamed("answers", "met").checkpoint()
     both = packed.join(met, "block", "left")
