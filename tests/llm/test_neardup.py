@@ -55,3 +55,9 @@ def test_stage_finds_all_pairs(spark, rows):
     found = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in found.collect()) == kept(rows)
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (2, "h i j k l m n")]
+    found = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == rows[:2]
