@@ -49,10 +49,21 @@ PART = 1.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_ANY = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v 　]+")
 
 
+def _hides(attributes: str) -> bool:
+    """Whether an attribute of its own says so, not a part of another's value."""
+    for a in _ANY.finditer(attributes):
+        name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _STYLE.search(value):
+            return True
+    return False
+
+
 class Page:
     """Nodes in page order: tag (#text for a run), parent, text of runs, attribute words. `breaks` are places where a block ends."""
 
@@ -108,7 +119,7 @@ class Page:
         self.parent.append(parent)
         self.text.append(text)
         self.words.append(words)
-        self.hidden.append(tag in UNSEEN or bool(attributes and _HIDDEN.search(attributes)))
+        self.hidden.append(tag in UNSEEN or bool(attributes and _HIDDEN.search(attributes) and _hides(attributes)))
         return len(self.tag) - 1
 
     def _close(self, stack: list[int], tag: str, within: tuple[str, ...]) -> None:
