@@ -60,29 +60,28 @@ class Block:
         return Block(ids, np.concatenate(([0], np.cumsum(lengths))), raw[8 + 16 * n :])
 
 
-def packed(documents: DataFrame, carry: bool = False, deal: bool = True) -> DataFrame:
-    """block (long), raw (bytes of text), payload, rest; partitioned by block and checkpointed.
+def packed(documents: DataFrame, carry: bool = False, size: int = BLOCK_BYTES) -> DataFrame:
+    """block (long), raw (bytes of text), ids (of its documents, but nulls), payload, rest; partitioned by block and checkpointed.
 
     rest has the documents' rows without their texts (compressed Arrow) if `carry`, else nothing.
-    Without `deal` the blocks stay where they were read.
+    A block has about `size` bytes of text, or one longer text.
     """
     ensure_checkpoints(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "text", BLOCK_BYTES):
+            for batch in slices(whole, "text", size):
                 texts = text_bytes(col(batch, "text"))
                 ids = np.array([NO_ID if i is None else i for i in col(batch, "doc_id").to_pylist()], dtype=np.int64)
                 made = Block(ids, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), b"".join(texts))
                 rest = whole_rows(batch) if carry else b""
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(made.data)], pa.int64()), pa.array([made.pack()], pa.binary()), pa.array([rest], pa.binary())], names=["block", "raw", "payload", "rest"])
+                known = ids[ids != NO_ID].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(made.data)], pa.int64()), pa.array([known], pa.list_(pa.int64())), pa.array([made.pack()], pa.binary()), pa.array([rest], pa.binary())], names=["block", "raw", "ids", "payload", "rest"])
                 block += 1
 
     rows = documents if carry else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "block long, raw long, payload binary, rest binary")
-    if not deal:
-        return made.checkpoint()
+    made = rows.mapInArrow(run, "block long, raw long, ids array<long>, payload binary, rest binary")
     return made.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").checkpoint()
 
 

@@ -10,7 +10,8 @@ corpus and stay on the cluster. Documents are packed into blocks (see
 `blocks`). A block sends each of its words and bigrams once, as a 56-bit hash
 with its counts, to a bucket of hashes; a bucket adds up what all blocks sent
 and answers each block in the order of its hashes, so a bigram that all
-documents have costs an entry per block. The driver sees six sums.
+documents have costs an entry per block. Words are summed
+first, as their totals are part of every rate. The driver sees four sums.
 
 The probability of word w after c is BIGRAM * n(c, w) / n(c) plus (1 - BIGRAM)
 times the unigram (n(w) + 1) / (tokens + distinct words of the corpus), and the
@@ -42,6 +43,8 @@ BIGRAM = 0.6
 #: Stands for the start of a document among the hashes of words.
 START = np.uint64(0x53544152545354)
 KEY_BITS = 56
+#: Text of a block: the more, the fewer bigrams are sent more than once.
+BLOCK_BYTES = 4 << 20
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -52,12 +55,7 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def _flagged(packed: DataFrame, labels: DataFrame) -> DataFrame:
     """The blocks with the ids of their trusted documents (good)."""
-
-    def ids(number: int, block: B.Block) -> Iterator[tuple]:
-        for i in np.unique(block.ids[block.ids != B.NO_ID]).tolist():
-            yield number, i
-
-    held = B.over_blocks(packed, ids, "block long, doc_id long", ["block", "doc_id"])
+    held = packed.select("block", F.explode("ids").alias("doc_id")).distinct()
     good = held.join(trusted(labels), "doc_id").groupBy("block").agg(F.collect_list("doc_id").alias("good")).checkpoint()
     return packed.join(good, "block", "left")
 
@@ -65,7 +63,7 @@ def _flagged(packed: DataFrame, labels: DataFrame) -> DataFrame:
 class Grams:
     """Distinct words (the start among them) and bigrams of a block, in the order of their hashes, with counts."""
 
-    def __init__(self, block: B.Block, good: list[int] | None):
+    def __init__(self, block: B.Block, good: list[int] | None, pairs: bool = True):
         number: dict[bytes, int] = {}
         flat: list[int] = []
         self.counts = np.zeros(len(block.ids), dtype=np.int64)
@@ -83,55 +81,63 @@ class Grams:
         n = len(hashes)
         order = np.argsort(hashes)
         self.words = hashes[order]
-        self.word_counts = [np.bincount(x, w, minlength=n)[order].astype(np.uint32) for x, w in ((word, None), (context, None), (word, weight), (context, weight))]
+        self.word_counts = [np.bincount(x, w, minlength=n)[order].astype(np.uint32) for x, w in ((word, None), (word, weight), (context, None), (context, weight))]
+        if not pairs:
+            return
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.arange(n)
-        pairs, where = np.unique(rank[context] * n + rank[word], return_inverse=True)
-        first, second = pairs // n, pairs % n
+        met, where = np.unique(rank[context] * n + rank[word], return_inverse=True)
+        first, second = met // n, met % n
         keys = B.mix(B.mix(self.words[first]) * np.uint64(3) + self.words[second]) >> np.uint64(64 - KEY_BITS)
         order = np.argsort(keys, kind="stable")
-        back = np.empty(len(pairs), dtype=np.int64)
-        back[order] = np.arange(len(pairs))
+        back = np.empty(len(met), dtype=np.int64)
+        back[order] = np.arange(len(met))
         #: Of each token, the place of its bigram; of each bigram, the places of its words.
         self.token, self.first, self.second = back[where], first[order], second[order]
         self.pairs = keys[order]
-        self.pair_counts = [np.bincount(self.token, w, minlength=len(pairs)).astype(np.uint32) for w in (None, weight)]
+        self.pair_counts = [np.bincount(self.token, w, minlength=len(met)).astype(np.uint32) for w in (None, weight)]
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 31)).astype(np.int64) * buckets) >> 31
 
 
-def _ask(kind: int, block: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+def _ask(block: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
     bucket = _bucket_of(keys, buckets)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield kind, int(bucket[a]), block, B.squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts))
+        yield int(bucket[a]), block, B.squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts))
 
 
 def _sums(table: pa.Table) -> pa.Table:
     """Answers a bucket's questions: the sums of the counts of each key, in the block's order. The first row has the bucket's totals."""
     asked = [B.stretch(x) for x in table.column("payload").to_pylist()]
     keys = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
-    flat = np.concatenate(keys)
-    once, where = np.unique(flat, return_inverse=True)
+    once, where = np.unique(np.concatenate(keys), return_inverse=True)
     sums = [np.bincount(where, np.concatenate([x[k] for x in asked])).astype(np.uint64) for k in range(1, len(asked[0]))]
     ends = np.cumsum([0, *map(len, keys)])
     out = [B.squeeze(*(s[where[a:b]] for s in sums)) for a, b in zip(ends[:-1], ends[1:])]
     rest = [0] * (len(asked) - 1)
-    totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[2].sum())] if len(sums) == 4 else [0, 0, 0]
-    made = {"kind": table.column("kind"), "bucket": table.column("bucket"), "block": table.column("block"), "payload": pa.array(out, pa.binary())}
+    totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())]
+    made = {"bucket": table.column("bucket"), "block": table.column("block"), "payload": pa.array(out, pa.binary())}
     return pa.table(made | {c: pa.array([x, *rest], pa.int64()) for c, x in zip(("distinct", "tokens", "good_tokens"), totals)})
 
 
-def _read(keys: np.ndarray, n: int, kind: int, buckets: int, answers: list[dict] | None) -> list[np.ndarray]:
+def _summed(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("bucket").applyInArrow(_sums, f"{B.QUESTION}, distinct long, tokens long, good_tokens long")
+
+
+def _answers(summed: DataFrame, name: str) -> DataFrame:
+    return summed.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+
+
+def _read(keys: np.ndarray, n: int, buckets: int, answers: list[dict] | None) -> list[np.ndarray]:
     bucket = _bucket_of(keys, buckets)
     out = [np.zeros(len(keys)) for _ in range(n)]
     for x in answers or ():
-        if x["kind"] == kind:
-            a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
-            for to, part in zip(out, B.stretch(x["payload"])):
-                to[a:b] = part
+        a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+        for to, part in zip(out, B.stretch(x["payload"])):
+            to[a:b] = part
     return out
 
 
@@ -143,24 +149,28 @@ def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, d
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score of every row."""
-    packed = B.packed(documents, deal=False)
+    packed = B.packed(documents, size=BLOCK_BYTES)
     buckets = B.buckets_for(packed)
     flagged = _flagged(packed, labels)
 
-    def count(number: int, block: B.Block, good: list | None) -> Iterator[tuple]:
+    def words(number: int, block: B.Block, good: list | None) -> Iterator[tuple]:
+        grams = Grams(block, good, pairs=False)
+        yield from _ask(number, grams.words, grams.word_counts, buckets)
+
+    def pairs(number: int, block: B.Block, good: list | None) -> Iterator[tuple]:
         grams = Grams(block, good)
-        yield from _ask(0, number, grams.words, grams.word_counts, buckets)
-        yield from _ask(1, number, grams.pairs, grams.pair_counts, buckets)
+        yield from _ask(number, grams.pairs, grams.pair_counts, buckets)
 
-    asked = B.over_blocks(flagged, count, "kind int, bucket long, block long, payload binary", ["kind", "bucket", "block", "payload"], "good")
-    summed = asked.groupBy("kind", "bucket").applyInArrow(_sums, "kind int, bucket long, block long, payload binary, distinct long, tokens long, good_tokens long").checkpoint()
-    distinct, tokens, good_tokens = (x or 0 for x in summed.agg(F.sum("distinct"), F.sum("tokens"), F.sum("good_tokens")).first())
-    answers = summed.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("answers"))
+    asked = [B.over_blocks(flagged, f, B.QUESTION, B.QUESTION_NAMES, "good") for f in (words, pairs)]
+    # words have to be known before anything is rated; bigrams, most of the volume, are moved and not kept
+    of_words = _summed(asked[0]).checkpoint()
+    distinct, tokens, good_tokens = (x or 0 for x in of_words.agg(F.sum("distinct"), F.sum("tokens"), F.sum("good_tokens")).first())
+    both = flagged.join(_answers(of_words, "of_words"), "block", "left").join(_answers(_summed(asked[1]), "of_pairs"), "block", "left")
 
-    def rate(number: int, block: B.Block, good: list | None, answers: list | None) -> Iterator[tuple]:
+    def rate(number: int, block: B.Block, good: list | None, of_words: list | None, of_pairs: list | None) -> Iterator[tuple]:
         grams = Grams(block, good)
-        raw_word, raw_context, good_word, good_context = _read(grams.words, 4, 0, buckets, answers)
-        raw, own = _read(grams.pairs, 2, 1, buckets, answers)
+        raw_word, good_word, raw_context, good_context = _read(grams.words, 4, buckets, of_words)
+        raw, own = _read(grams.pairs, 2, buckets, of_pairs)
         first, second = grams.first, grams.second
         gain = np.zeros(len(raw))
         if good_tokens:
@@ -171,4 +181,4 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for i, n, x in zip(block.ids.tolist(), grams.counts.tolist(), mean.tolist()):
             yield None if i == B.NO_ID else i, n, x
 
-    return B.over_blocks(flagged.join(answers, "block", "left"), rate, "doc_id long, n_tokens long, score double", ["doc_id", "n_tokens", "score"], "good", "answers")
+    return B.over_blocks(both, rate, "doc_id long, n_tokens long, score double", ["doc_id", "n_tokens", "score"], "good", "of_words", "of_pairs")
