@@ -81,8 +81,21 @@ def packed(documents: DataFrame, carry: bool = False, size: int = BLOCK_BYTES) -
                 block += 1
 
     rows = documents if carry else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "block long, raw long, ids array<long>, payload binary, rest binary")
-    return made.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").checkpoint()
+    return dealt(rows.mapInArrow(run, "block long, raw long, ids array<long>, payload binary, rest binary"), "block")
+
+
+def dealt(frame: DataFrame, column: str) -> DataFrame:
+    """Repartitioned by the column and checkpointed, so that later joins on the column leave these rows where they are.
+
+    Adaptive planning is off meanwhile: a plan made by it doesn't tell its partitioning to the checkpoint.
+    """
+    conf = frame.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return frame.repartition(int(conf.get("spark.sql.shuffle.partitions")), column).checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
 
 
 def whole_rows(batch: pa.RecordBatch) -> bytes:
