@@ -1,9 +1,9 @@
 """Blocks of whole documents, and questions about content keys across all of them.
 
-Two operators look for content that stands in more than one document. Both pack
-documents into blocks of about 1 MB once, compressed, dealt by block number and
-checkpointed: that partitioning is kept, so the blocks never move again while
-small answers are joined to them, however often.
+Three operators look for content that stands in more than one document. They
+pack documents into blocks of about 1 MB once, compressed, dealt by block number
+and checkpointed: that partitioning is kept (`dealt`), so the blocks never move
+again while small answers are joined to them, however often.
 
 A question is asked with keys (48 bits of a content hash). Each block sends a
 key once per bucket row, packed; buckets are ranges of keys, so they are even
@@ -11,9 +11,12 @@ whatever the content, and a key that a third of all documents hold costs one
 entry per block, not per document. Answers come back as bits in the order the
 block sent its keys.
 
-Exactness: where keys only choose candidates, a clash costs time and never a
-wrong answer. Where an answer decides by itself, as for windows of words, a
-second independent hash of 64 bits goes with each key and is compared too.
+Exactness: keys only choose candidates. A clash costs time and never makes a
+wrong answer, as contents are compared before anything is cut.
+
+Scale: a block sends at most a row for each bucket and each of its keys, so
+there are min(blocks * buckets, keys) rows; both numbers grow with the corpus,
+and larger blocks (`packed(size=...)`) lessen their product.
 """
 
 from __future__ import annotations
@@ -160,6 +163,7 @@ class Runs:
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
+    at: np.ndarray  # of the anchor
     key: np.ndarray
 
 
@@ -174,7 +178,7 @@ def winnow(rolling: Rolling, starts: np.ndarray, gram: int, window: int) -> Runs
     lengths = np.diff(starts)
     count = np.maximum(lengths - window + 1, 0)
     if not count.sum():
-        return Runs(none, none, none, none.astype(np.uint64))
+        return Runs(none, none, none, none, none.astype(np.uint64))
     grams = rolling.grams(gram)
     best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     have = 1
@@ -189,7 +193,7 @@ def winnow(rolling: Rolling, starts: np.ndarray, gram: int, window: int) -> Runs
     change = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(doc) != 0)) + 1
     head, tail = np.concatenate(([0], change)), np.concatenate((change - 1, [len(at) - 1]))
     # minima lie low: mixed once more, so that ranges of keys are even
-    return Runs(at[head], at[tail], doc[head], mix(~grams[anchor[head]]) >> np.uint64(64 - KEY_BITS))
+    return Runs(at[head], at[tail], doc[head], anchor[head], mix(~grams[anchor[head]]) >> np.uint64(64 - KEY_BITS))
 
 
 # --- packed arrays ----------------------------------------------------------
@@ -220,66 +224,67 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 31)).astype(np.int64) * buckets) >> 31
 
 
-def order_of(keys: np.ndarray, check: np.ndarray | None, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, second hash (if there is one) and what else; and where a new content begins in it."""
-    by = [keys] if check is None else [keys, check]
-    order = np.lexsort((*then, *reversed(by)))
-    new = np.ones(len(keys), dtype=bool)
-    if len(keys):
-        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in by])
-    return order, new
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for `count` each."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(first) else np.zeros(0, dtype=np.int64)
+
+
+def strings(data: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Pieces of the data, as binary values."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[spread(first, lengths)]))])
+
 
+def distinct(values: pa.Array, docs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, by their bytes; which of them each value is; one place of each; the smallest document of each."""
+    coded = values.dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.empty(len(coded.dictionary), dtype=np.int64)
+    place[which[::-1]] = np.arange(len(which))[::-1]
+    least = np.full(len(place), NO_ID)
+    np.minimum.at(least, which, docs)
+    return coded.dictionary, which, place, least
 
-def ask(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, smaller: bool, check: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, block, payload) rows: each key (with its second hash) once, with its smallest document or whether it has two."""
+
+def ask(block: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, block, payload) rows: each key once, with whether it has two documents."""
     if not len(keys):
         return
-    order, new = order_of(keys, check, docs)
+    order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    head = np.flatnonzero(new)
-    seconds = None if check is None else check[order][head]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     tail = np.concatenate((head[1:], [len(keys)])) - 1
-    once, least, most = keys[head], docs[head], docs[tail]
+    once, several = keys[head], docs[tail] != docs[head]
     bucket = bucket_of(once, buckets)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        steps = np.diff(once[a:b], prepend=np.uint64(0))
-        also = () if seconds is None else (seconds[a:b],)
-        yield int(bucket[a]), block, squeeze(steps, least[a:b] if smaller else (most[a:b] != least[a:b]).view(np.uint8), *also)
+        yield int(bucket[a]), block, squeeze(np.diff(once[a:b], prepend=np.uint64(0)), several[a:b].view(np.uint8))
 
 
-def answer(questions: DataFrame, smaller: bool) -> DataFrame:
-    """block, answers (bits of each bucket). A bit says: the key stands in two documents or more, or in a smaller one than the block's smallest."""
+def answer(questions: DataFrame, name: str) -> DataFrame:
+    """block, and under `name` the bits of each bucket: whether a key stands in two documents or more."""
 
     def run(table: pa.Table) -> pa.Table:
         asked = [stretch(x) for x in table.column("payload").to_pylist()]
         keys = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
-        flat = np.concatenate(keys)
-        if smaller:
-            docs = np.concatenate([x[1] for x in asked]).view(np.int64)
-            order, new = order_of(flat, np.concatenate([x[2] for x in asked]) if len(asked[0]) > 2 else None)
-            least = np.empty(len(flat), dtype=np.int64)
-            least[order] = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            bits = np.split(least < docs, np.cumsum([len(k) for k in keys])[:-1])
-        else:
-            twice = np.concatenate([x[1] for x in asked]).astype(bool)
-            once, where, times = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = times > 1
-            shared[where[twice]] = True
-            bits = [shared[np.searchsorted(once, k)] for k in keys]
+        once, where, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = times > 1
+        shared[where[np.concatenate([x[1] for x in asked]).astype(bool)]] = True
+        bits = np.split(shared[where], np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
-    back = questions.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary")
-    return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    return by_block(questions.groupBy("bucket").applyInArrow(run, ANSWER), name)
+
+
+def by_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def read_bits(keys: np.ndarray, buckets: int, answers: list[dict] | None, check: np.ndarray | None = None) -> np.ndarray:
-    """The answer to each key (with its second hash, if it was asked with one) of the block, in any order and with repeats."""
+def read_bits(keys: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
+    """The answer to each key of the block, in any order and with repeats."""
     if not len(keys):
         return np.zeros(0, dtype=bool)
-    order, new = order_of(keys, check)
-    once, where = keys[order][new], np.empty(len(keys), dtype=np.int64)
-    where[order] = np.cumsum(new) - 1
+    once, where = np.unique(keys, return_inverse=True)
     bucket, bits = bucket_of(once, buckets), np.zeros(len(once), dtype=bool)
     for x in answers or ():
         a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
@@ -317,5 +322,6 @@ def over_rows(blocks: DataFrame, work: Callable, schema, *extra: str) -> DataFra
     return blocks.select("payload", "rest", *extra).mapInArrow(run, schema)
 
 
+ANSWER = "block long, bucket long, bits binary"
 QUESTION = "bucket long, block long, payload binary"
 QUESTION_NAMES = ["bucket", "block", "payload"]

@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from talus.llm import blocks as B
 
@@ -162,55 +161,25 @@ def owners(text: bytes, at: np.ndarray, doc: np.ndarray, window: int = WINDOW) -
     return least
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for `count` each."""
-    return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(first) else np.zeros(0, dtype=np.int64)
-
-
-def _names(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hashes of stretches that stand one after the other; a part at a time, as sums take 40 bytes for one of text."""
-    ends, made, at = np.cumsum(lengths), [], 0
-    while at < len(lengths):
-        first = int(ends[at] - lengths[at])
-        upto = max(at + 1, int(np.searchsorted(ends, first + (1 << 20))))
-        starts = ends[at:upto] - lengths[at:upto] - first
-        rolling = B.Rolling(data[first : int(ends[upto - 1])].astype(np.uint64) + np.uint64(1))
-        made.append(rolling.of(starts, starts + lengths[at:upto]) ^ lengths[at:upto].astype(np.uint64))
-        at = upto
-    return np.concatenate(made) if made else np.zeros(0, dtype=np.uint64)
-
-
 def _solve(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
     """For each block's stretches: a bit for each window, whether a smaller document has it."""
     docs = np.concatenate([x[0].view(np.int64) for x in asked])
     lengths = np.concatenate([x[1] for x in asked]).astype(np.int64)
-    name = np.concatenate([_names(x[2], x[1].astype(np.int64)) for x in asked])
     data = np.concatenate([x[2] for x in asked])
-    # equal stretches once, for their smallest document
-    order = np.lexsort((docs, name))
-    head = np.concatenate(([True], name[order][1:] != name[order][:-1]))
-    chosen = order[head]
-    stands = np.empty(len(docs), dtype=np.int64)
-    stands[order] = np.cumsum(head) - 1
-    keep = np.zeros(len(docs), dtype=bool)
-    keep[chosen] = True
-    text = data[np.repeat(keep, lengths)].tobytes()
-    del data
     for x in asked:
         x[2] = x[2][:0]
-    chosen = np.flatnonzero(keep)  # as they stand in the text
-    rank = np.empty(len(chosen), dtype=np.int64)
-    rank[stands[chosen]] = np.arange(len(chosen))
-    stands = rank[stands]
-    begin = np.concatenate(([0], np.cumsum(lengths[chosen])))
-    count = lengths[chosen] - window + 1
-    at = _spread(begin[:-1], count)
-    least = owners(text, at, np.repeat(docs[chosen], count), window)
+    # equal stretches once, for their smallest document
+    once, stands, _, least = B.distinct(B.strings(data, np.cumsum(lengths) - lengths, lengths), docs)
+    del data
+    begin = np.frombuffer(once.buffers()[1], np.int64, len(once) + 1, 8 * once.offset)
+    text = once.buffers()[2].to_pybytes()[begin[0] : begin[-1]]
+    count = np.diff(begin) - window + 1
+    own = owners(text, B.spread(begin[:-1] - begin[0], count), np.repeat(least, count), window)
     first = np.concatenate(([0], np.cumsum(count)))
     windows = lengths - window + 1
     cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
     # a block at a time: positions take many times the memory of the bits
-    return [least[_spread(first[stands[a:b]], windows[a:b])] < np.repeat(docs[a:b], windows[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [own[B.spread(first[stands[a:b]], windows[a:b])] < np.repeat(docs[a:b], windows[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 class _Stretches:
@@ -218,26 +187,25 @@ class _Stretches:
 
     def __init__(self, block: B.Block, met: list | None, buckets: int, fine: int, window: int, anchor: int):
         data = np.frombuffer(block.data, np.uint8)
-        rolling = B.Rolling(data.astype(np.uint64) + np.uint64(1))
-        runs = B.winnow(rolling, block.starts, anchor, window)
+        runs = B.winnow(B.Rolling(data.astype(np.uint64) + np.uint64(1)), block.starts, anchor, window)
         shared = B.read_bits(runs.key, buckets, met)
         self.first, self.last = runs.first[shared], runs.last[shared]
         self.doc = block.ids[runs.doc[shared]]
         self.lengths = self.last - self.first + window
-        bucket = B.bucket_of(runs.key[shared], fine)
-        name = rolling.of(self.first, self.last + window) ^ self.lengths.astype(np.uint64) if len(self.first) else np.zeros(0, dtype=np.uint64)
-        order = np.lexsort((self.doc, name, bucket))
-        head = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))) if len(order) else np.zeros(0, dtype=bool)
-        self.sent = order[head]
-        self.stands = np.empty(len(order), dtype=np.int64)
-        self.stands[order] = np.cumsum(head) - 1
-        self.bucket = bucket[self.sent]
+        # stretches with the same bytes have the same anchor, and so the same bucket
+        _, which, place, self.least = B.distinct(B.strings(data, self.first, self.lengths), self.doc)
+        bucket = B.bucket_of(runs.key[shared][place], fine)
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        #: A stretch of each content, in the order they are sent; which content each stretch has.
+        self.sent, self.bucket, self.least, self.stands = place[order], bucket[order], self.least[order], back[which]
         self.data = data
 
-    def groups(self) -> Iterator[tuple[int, np.ndarray]]:
+    def groups(self) -> Iterator[tuple[int, slice]]:
         for b in np.unique(self.bucket):
             i, j = np.searchsorted(self.bucket, [b, b + 1])
-            yield int(b), self.sent[i:j]
+            yield int(b), slice(int(i), int(j))
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_bytes: bool = True) -> DataFrame:
@@ -252,13 +220,14 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
         rolling = B.Rolling(np.frombuffer(block.data, np.uint8).astype(np.uint64) + np.uint64(1))
         runs = B.winnow(rolling, block.starts, anchor, window)
         del rolling
-        yield from B.ask(number, runs.key, block.ids[runs.doc], buckets, smaller=False)
+        yield from B.ask(number, runs.key, block.ids[runs.doc], buckets)
 
     def send(number: int, block: B.Block, met: list | None) -> Iterator[tuple]:
         found = _Stretches(block, met, buckets, fine, window, anchor)
-        for b, own in found.groups():
-            text = found.data[_spread(found.first[own], found.lengths[own])]
-            yield b, number, B.squeeze(found.doc[own], found.lengths[own].astype(np.uint32), text)
+        for b, part in found.groups():
+            own = found.sent[part]
+            text = found.data[B.spread(found.first[own], found.lengths[own])]
+            yield b, number, B.squeeze(found.least[part], found.lengths[own].astype(np.uint32), text)
 
     def solve(table: pa.Table) -> pa.Table:
         bits = _solve([B.stretch(x) for x in table.column("payload").to_pylist()], window)
@@ -273,15 +242,14 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
         sent_count = count[found.sent]
         bits = np.zeros(int(sent_count.sum()), dtype=bool)
         ends = np.concatenate(([0], np.cumsum(sent_count)))
-        for b in np.unique(found.bucket):
-            i, j = np.searchsorted(found.bucket, [b, b + 1])
-            n = int(ends[j] - ends[i])
-            bits[ends[i] : ends[j]] = np.unpackbits(np.frombuffer(told[int(b)], np.uint8), count=n).astype(bool)
+        for b, part in found.groups():
+            i, j = ends[part.start], ends[part.stop]
+            bits[i:j] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=int(j - i)).astype(bool)
         if len(count):
             # a stretch takes what its equal of the smallest document was told; all of it where that document is smaller
-            whole = found.doc[found.sent][found.stands] < found.doc
-            gone = bits[_spread(ends[found.stands], count)] | np.repeat(whole, count)
-            at = _spread(found.first, count)[gone]
+            whole = found.least[found.stands] < found.doc
+            gone = bits[B.spread(ends[found.stands], count)] | np.repeat(whole, count)
+            at = B.spread(found.first, count)[gone]
             np.add.at(change, at, 1)
             np.add.at(change, at + window, -1)
         removed = np.cumsum(change)[:-1] > 0
@@ -296,10 +264,10 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
             doc_id = None if block.ids[d] == B.NO_ID else int(block.ids[d])
             yield doc_id, b - a, n, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, [{"start": x, "end": y} for x, y in spans] if with_bytes else None
 
-    met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), smaller=False).withColumnRenamed("answers", "met").checkpoint()
+    met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), "met").checkpoint()
     both = packed.join(met, "block", "left")
     sent = B.over_blocks(both, send, B.QUESTION, B.QUESTION_NAMES, "met")
-    owned = sent.groupBy("bucket").applyInArrow(solve, "block long, bucket long, bits binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("owned"))
+    owned = B.by_block(sent.groupBy("bucket").applyInArrow(solve, B.ANSWER), "owned")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
     return B.over_blocks(both.join(owned, "block", "left"), remove, schema, names, "met", "owned")
