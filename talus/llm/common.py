@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,10 @@ import pyarrow.compute  # noqa: E402,F401  (registers pa.compute)
 
 
 def ensure_checkpoints(spark) -> None:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/talus-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talus-"))

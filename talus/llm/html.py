@@ -46,13 +46,13 @@ BOILERPLATE, OUTER = WORDS.index("content"), set("nav header footer aside form b
 #: What it costs, in log odds, to part a dropped node from a kept parent.
 PART = 1.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<([a-zA-Z][^\s>/]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _ANY = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v 　]+")
+_SPACE = re.compile(r"\s+")
 
 
 def _hides(attributes: str) -> bool:
@@ -81,8 +81,10 @@ class Page:
                 continue
             m = _TOKEN.match(source, at)
             at = m.end()
-            if m[2]:
-                tag = m[2].lower()
+            # an open quote doesn't reach beyond the end of its tag
+            name, attributes = m[2] or m[4], m[3] or m[5] or ""
+            if name:
+                tag = name.lower()
                 if tag == "p" or tag in CLOSES_P:
                     self._close(stack, "p", ("button", "td", "th", "table", "li", "body"))
                 if tag == "li":
@@ -97,8 +99,8 @@ class Page:
                     self._close(stack, "dd", ("dl",))
                 elif tag == "body":
                     self._close(stack, "head", ("body",))
-                node = self._add(tag, stack[-1], "", m[3] or "")
-                if tag not in VOID and not (m[3] or "").endswith("/"):
+                node = self._add(tag, stack[-1], "", attributes)
+                if tag not in VOID and not attributes.endswith("/"):
                     stack.append(node)
                     if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
                         raw = tag
@@ -215,7 +217,7 @@ class Page:
                 if self.tag[k] not in INLINE and self.tag[k] != "#text":
                     parts.append("\n")
                 k = self.parent[k]
-        return _SPACE.sub(" ", "".join(parts)).strip(" ")
+        return _SPACE.sub(" ", "".join(parts)).strip()
 
 
 # --- boosted trees ---------------------------------------------------------
@@ -373,8 +375,8 @@ def _labels(page: Page, source: str) -> np.ndarray:
     """1 for nodes with main text in or below them, by the marks of `sample_page`."""
     marked = [False]
     for m in _TOKEN.finditer(re.sub(r"(?is)<(script|style|noscript|title)\b.*?</\1>", r"<\1>", source)):
-        if m[2]:
-            marked.append("data-main" in m[3])
+        if m[2] or m[4]:
+            marked.append("data-main" in (m[3] or m[5] or ""))
     elements = [i for i, t in enumerate(page.tag) if t != "#text"]
     main = np.zeros(len(page.tag), dtype=bool)
     for i, flag in zip(elements, marked):

@@ -6,13 +6,17 @@ A text is cut into windows from its first to its last byte, and its
 probabilities are the mean over its windows, by their length.
 
 Training uses labelled texts only: at most `PER_LANGUAGE` documents a language,
-those with the smallest hash of their id, with a few stretches of each; this
-bound is a parameter. Prediction covers all documents as a narrow map; the
-model (some 200 kB) is broadcast.
-
-Defined cases: null texts and texts without a letter are `und` with score 0;
-with nothing to learn from all are; repeated rows are predicted alike; null
-ids are neither learned from nor held out; extra columns are not read.
+those with a small hash of their id, with a few stretches of each; this
+bound is a parameter. All labelled languages are learned, so what the driver
+holds grows with their number, never with the rows. Prediction covers all
+documents as a narrow map; the model (some 200 kB) is broadcast.
+
+Defined cases: null texts and texts without a letter (of Unicode's categories
+L*) are `und` with score 0; with nothing to learn from all are; repeated rows
+are predicted alike; null ids are neither learned from nor held out; of equal
+probabilities the first language counts; extra columns are not read. A text's
+windows are rated 512 at a time, but cut at once: some three bytes for one of a
+very long text.
 """
 
 from __future__ import annotations
@@ -29,14 +33,18 @@ from pyspark.sql import functions as F
 from talus.llm.common import col, slices, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
-PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+PER_LANGUAGE = 400
 UNKNOWN = "und"
 #: Below, a text is in none of the learned languages.
 MIN_SCORE = 0.35
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(rb"[A-Za-z]")
 _AT_ONCE = 512
 
 
+def lettered(text: bytes) -> bool:
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text.decode("utf-8", "ignore")))
+
+
 class Network:
     """tables[w][j]: what byte values add to each filter of width w at offset j."""
 
@@ -127,23 +135,23 @@ def held_out(doc_id: Column) -> Column:
 def learn(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """A network trained on labelled documents that aren't held out."""
     labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
     # a hash threshold for each language gives about per_language documents of it, wherever they are
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == r["lang"]) & (unit < int((1 << 30) * min(1.0, per_language / r["count"]))) for r in counts])
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int((1 << 30) * min(1.0, per_language / n)))])
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(most, F.col("lang"))
     third = F.greatest(F.lit(1), (F.char_length("text") / 3).cast("int"))
     parts = F.array(*[F.substring(F.col("text"), F.lit(1) + third * k, F.lit(WINDOW)) for k in range(3)])
     rows = labelled.where(chosen).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", parts.alias("parts"))
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(counts)
     windows, labels = [], []
     for doc_id, lang, stretches in sorted((tuple(r) for r in rows.collect()), key=lambda r: r[:2]):
         for k, text in enumerate(stretches):
             full = text.encode()[:WINDOW]
             # some short ones, for short texts
             for raw in (full, full[: 24 + 17 * (len(windows) % 5)]) if k == 0 else (full,):
-                if _LETTER.search(raw.decode("utf-8", "ignore")):
+                if lettered(raw):
                     windows.append(np.frombuffer(raw.ljust(WINDOW, b"\0"), np.uint8))
                     labels.append(languages.index(lang))
     if not windows:
@@ -156,13 +164,13 @@ def learn(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | N
 def classify(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
     """Language and probability of each whole text."""
     found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    lettered = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t.decode())]
-    if lettered:
-        windows, owner, size = cut([texts[i] for i in lettered])
+    known = [i for i, t in enumerate(texts) if net is not None and t and lettered(t)]
+    if known:
+        windows, owner, size = cut([texts[i] for i in known])
         weighed = net.probabilities(windows) * size[:, None]
-        starts = np.searchsorted(owner, np.arange(len(lettered)))
+        starts = np.searchsorted(owner, np.arange(len(known)))
         mean = np.add.reduceat(weighed.astype(np.float64), starts) / np.add.reduceat(size, starts)[:, None]
-        for i, k, p in zip(lettered, mean.argmax(axis=1), mean.max(axis=1)):
+        for i, k, p in zip(known, mean.argmax(axis=1), mean.max(axis=1)):
             found[i], scores[i] = net.languages[k], min(1.0, float(p))
     return found, scores
 
@@ -187,13 +195,20 @@ def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 
 def accepted(documents: DataFrame, network: Network | None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows, unchanged, whose language is known with at least this probability."""
+    """The rows, unchanged, whose language is known with at least this probability.
+
+    Where there was nothing to learn from, no row is in an unknown language: all that have a letter stay.
+    """
     held = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                found, scores = classify(held.value, text_bytes(col(batch, "text")))
-                yield batch.filter(pa.array([f != UNKNOWN and s >= min_score for f, s in zip(found, scores)], pa.bool_()))
+                texts = text_bytes(col(batch, "text"))
+                if held.value is None:
+                    keep = [lettered(t) for t in texts]
+                else:
+                    keep = [f != UNKNOWN and s >= min_score for f, s in zip(*classify(held.value, texts))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -30,4 +30,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM docs LEFT JOIN removed USING (doc_id)
 """
 
-SQL = {"op1_decontamination": OP1, "op9_substrings": OP9}
+# The pages of the tables hold their text in one article element without anything else in it, and two kinds of references.
+OP3 = r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(regexp_replace(coalesce(html, ''), '(?s)</article>.*', ''), '(?s)<article>(.*)', 1),
+    '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM pages)
+"""
+
+SQL = {"op3_html_extraction": OP3, "op1_decontamination": OP1, "op9_substrings": OP9}

@@ -190,10 +190,3 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RAD
     found = components(links(nodes.where("node IS NOT NULL"), radius))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents, unchanged, with one row of each component: that of the smallest doc_id. Rows without a doc_id stay."""
-    first = near_duplicates(documents, size, radius).where("doc_id = component_id").select("doc_id").distinct()
-    own = documents.join(first, documents["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(documents.where("doc_id IS NULL"))

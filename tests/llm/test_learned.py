@@ -28,6 +28,20 @@ def test_language_id_without_labels(docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_letters():
+    assert [langid.lettered(x.encode()) for x in ("12 \u00b3", "\u00bd", "\u2167", "\u2460", "", "_", "\u00e9", "\u65e5", "3a")] == [False] * 6 + [True] * 3
+
+
+def test_accepted(spark):
+    rows = [(1, "the cat and the dog", "x"), (1, "the cat and the dog", "x"), (2, None, "x"), (3, "12 \u00b3", "x"), (None, "a" * 200_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    assert sorted((r.doc_id or 0, r.score) for r in langid.accepted(docs, None).collect()) == [(0, "x"), (1, "x"), (1, "x")]
+    assert langid.accepted(docs.limit(0), None).count() == 0
+    labelled = docs.withColumn("lang", F.lit("en"))
+    found = sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify(labelled).collect())
+    assert found == [(0, "en"), (1, "en"), (1, "en"), (2, "und"), (3, "und")]
+
+
 def test_lm_scoring(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     assert lmscore.score(docs, labels).count() == docs.count()
@@ -46,3 +60,40 @@ def test_html(spark):
     assert found[2].text == "" and found[3].text == "" and set(found) == {1, 2, 3, 4}
     assert all(len(r.text) == r.n_chars for r in found.values())
     assert html.extract(pages.limit(0), model).count() == 0
+
+
+def test_html_pages_of_the_table(spark):
+    """Whole table against the article element, read another way."""
+    import html as references
+    import re
+
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search("<article>(.*?)(</article>|$)", r.html or "", re.S)
+        bare = re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner[1] if inner else ""))
+        assert found[r.page_id] == re.sub(r"\s+", " ", references.unescape(bare)).strip()
+
+
+def test_html_held_out():
+    """Pages written with another seed: tokens kept against tokens marked as main text."""
+    import re
+    from collections import Counter
+
+    model, right, kept, wanted = html.train(), 0, 0, 0
+    for k in range(150):
+        source = html.sample_page(9_000_000 + k)
+        page = html.Page(source.replace(" data-main", ""))
+        page.features()
+        label = html._labels(page, source)
+        want = Counter(re.findall(r"\w+", page.main_text(label)))
+        got = Counter(re.findall(r"\w+", html.texts(model, [source.replace(" data-main", "")])[0]))
+        right, kept, wanted = right + (want & got).total(), kept + got.total(), wanted + want.total()
+    assert 2 * right / (kept + wanted) > 0.95
+
+
+def test_html_open_quotes_and_spaces():
+    model = html.train(pages=120)
+    body = "word " * 60
+    text = html.texts(model, [f"<body><article><p>{body}<a href=\"unclosed>link</a>\u2003more\u202fwords\u00a0here {body}</p></article></body>"])[0]
+    assert "link more words here" in text and "href" not in text and text == text.strip()
