@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import col, ensure_checkpoints, replaced, slices, text_bytes
+from talus.llm.common import col, ensure_checkpoints, replaced, settings, slices, text_bytes
 
 BLOCK_BYTES = 1 << 20
 #: Raw text behind one bucket of keys; buckets bound what a task holds, whatever the corpus.
@@ -92,13 +92,9 @@ def dealt(frame: DataFrame, column: str) -> DataFrame:
 
     Adaptive planning is off meanwhile: a plan made by it doesn't tell its partitioning to the checkpoint.
     """
-    conf = frame.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return frame.repartition(int(conf.get("spark.sql.shuffle.partitions")), column).checkpoint()
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+    spark = frame.sparkSession
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        return frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column).checkpoint()
 
 
 def whole_rows(batch: pa.RecordBatch) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,3 +61,17 @@ def ensure_checkpoints(spark) -> None:
         if folder is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talus-"))
+
+
+@contextmanager
+def settings(spark, **values: str) -> Iterator[None]:
+    """Session settings (with __ for dots) for the actions inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -36,7 +36,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -152,6 +151,11 @@ class _Stretches:
         return np.cumsum(change)[:-1] > 0
 
 
+def _coded(x: np.ndarray | pa.Array) -> np.ndarray:
+    """Numbers from 0 on for the distinct values."""
+    return pa.array(x).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _grown(code: np.ndarray, at: np.ndarray, step: int, reach: np.ndarray, most: int) -> np.ndarray:
     """Classes of stretches by their first t words from `at` on, in steps of +1 or -1; -1 beyond a stretch's reach."""
     out = np.full((most + 1, len(at)), -1, dtype=np.int64)
@@ -161,7 +165,7 @@ def _grown(code: np.ndarray, at: np.ndarray, step: int, reach: np.ndarray, most:
         own = np.flatnonzero(reach >= t)
         if not len(own):
             break
-        out[t, own] = pd.factorize(out[t - 1, own] * size + code[at[own] + step * (t - 1)])[0]
+        out[t, own] = _coded(out[t - 1, own] * size + code[at[own] + step * (t - 1)])
     return out
 
 
@@ -172,7 +176,7 @@ def extend(values: pa.Array, before: np.ndarray, docs: np.ndarray, window: int,
     """
     parts = pc.split_pattern(values, " ")
     begin = parts.offsets.to_numpy().astype(np.int64)
-    code = parts.values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = _coded(parts.values)
     size = np.diff(begin)
     windows = size - window + 1
     at = begin[:-1] + before
@@ -184,7 +188,7 @@ def extend(values: pa.Array, before: np.ndarray, docs: np.ndarray, window: int,
         # windows with k words to the left of the seed
         own = np.flatnonzero((before >= k) & (before - k < windows))
         if len(own):
-            which = pd.factorize(left[k, own] * (len(docs) + 1) + right[window - k, own])[0]
+            which = _coded(left[k, own] * (len(docs) + 1) + right[window - k, own])
             lowest = np.full(int(which.max()) + 1, B.NO_ID)
             np.minimum.at(lowest, which, docs[own])
             least[first[own] + before[own] - k] = lowest[which]

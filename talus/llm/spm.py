@@ -42,7 +42,7 @@ from talus.llm.common import col, slices
 
 SPACE = "▁"
 #: Words remembered by a worker, in each of two generations.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 100_000
 
 
 def read_model(path: str) -> list[tuple[str, float, str]]:
@@ -61,7 +61,7 @@ class _Fits(dict):
         self.bpe = bpe
 
     def __missing__(self, key: int) -> bool:
-        if len(self) > 4 * MAX_CHUNKS:
+        if len(self) > 3 * MAX_CHUNKS:
             self.clear()
         a, b = self.bpe.text_of[key >> 21], self.bpe.text_of[key & 0x1FFFFF]
         made = self[key] = self.bpe.merged(a + b) == [a, b]
