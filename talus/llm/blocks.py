@@ -87,14 +87,17 @@ def packed(documents: DataFrame, carry: bool = False, size: int = BLOCK_BYTES) -
     return dealt(rows.mapInArrow(run, "block long, raw long, ids array<long>, payload binary, rest binary"), "block")
 
 
-def dealt(frame: DataFrame, column: str) -> DataFrame:
+def dealt(frame: DataFrame, column: str, once: bool = False) -> DataFrame:
     """Repartitioned by the column and checkpointed, so that later joins on the column leave these rows where they are.
 
+    With `once`, one row of each value stays.
+
     Adaptive planning is off meanwhile: a plan made by it doesn't tell its partitioning to the checkpoint.
     """
     spark = frame.sparkSession
     with settings(spark, spark__sql__adaptive__enabled="false"):
-        return frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column).checkpoint()
+        placed = frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+        return (placed.dropDuplicates([column]) if once else placed).checkpoint()
 
 
 def whole_rows(batch: pa.RecordBatch) -> bytes:
