@@ -120,21 +120,20 @@ def dinf_area(directions: Raster, tile: int = TILE) -> Raster:
 
 
 def line_cells(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
-    """Cells under a line, with the extra cell at each step of y."""
-    if x0 > x1:
-        x0, y0, x1, y1 = x1, y1, x0, y0
-    slope = abs((y1 - y0) / (x1 - x0)) if x1 > x0 else float("inf")
-    if slope == float("inf"):
+    """Cells under a line, from the left: in each column the cell that the line comes in at and, where it rounds to another row in it, that row's next cell.
+
+    After k columns the line has moved by k * slope rows, rounded, but by one row a column at most; an upright line has all its rows.
+    """
+    (x0, y0), (x1, y1) = sorted([(x0, y0), (x1, y1)], key=lambda p: p[0])
+    if x0 == x1:
         return [(x0, y) for y in range(min(y0, y1), max(y0, y1) + 1)]
-    out, error, y = [], 0.0, y0
-    for x in range(x0, x1 + 1):
-        out.append((x, y))
-        error += slope
-        if error >= 0.5:
-            out.append((x + 1, y))
-            y += (y1 > y0) - (y1 < y0)
-            error -= 1
-    return list(dict.fromkeys(out))
+    k = np.arange(x1 - x0 + 2)
+    rows_done = np.minimum(k, np.floor(k * abs(y1 - y0) / (x1 - x0) + 0.5).astype(int))
+    y = y0 + np.sign(y1 - y0) * rows_done[:-1]
+    own, turn = np.stack((x0 + k[:-1], y), axis=1), np.diff(rows_done) > 0
+    both = np.concatenate((own, own[turn] + [1, 0]))
+    order = np.argsort(np.concatenate((2 * k[:-1], 2 * k[:-1][turn] + 1)), kind="stable")
+    return list(dict.fromkeys(map(tuple, both[order].tolist())))
 
 
 def _walk(links: pa.Table, given: pa.Table, width: int) -> pa.Table:

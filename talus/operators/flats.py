@@ -1,8 +1,8 @@
 """Flats: finding them, making them drain, and directions within them.
 
-Finding flats and their edges is focal. The gradients need whole flats: up to
-`MAX_ALONE` cells the raster is one group of a vectorised kernel; beyond, the
-same comes from rounds of equi-joins over the cells of flats alone.
+Finding flats and their edges is focal, in tiles. The gradients need whole
+flats: the raster is one group of a vectorised kernel, of `MAX_ALONE` cells at
+most, and refused beyond.
 """
 
 from __future__ import annotations
@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from talus.functions import flats as kernels
 from talus.functions import stencil
-from talus.functions.topology import DX, DY
 from talus.operators import flow
 from talus.operators.flood import MAX_ALONE
-from talus.plans.checkpoints import cut
 from talus.plans.halo import over_tiles, rows, shifted
 from talus.raster import Raster
 
@@ -45,11 +43,11 @@ def flat_edges(dem: Raster) -> DataFrame:
     return over_tiles(dem, kernel, "x int, y int, kind int", pad=2)
 
 
-def flat_mask(dem: Raster, max_alone: int = MAX_ALONE) -> DataFrame:
+def flat_mask(dem: Raster) -> DataFrame:
     """x, y, mask (increments towards drainage, 0 outside flats), label (flat id of the first cell of the group; null if none drains)."""
     w, h = dem.meta.width, dem.meta.height
-    if w * h > max_alone:
-        return _mask_in_rounds(dem)
+    if w * h > MAX_ALONE:
+        raise ValueError(f"flats are resolved in one task, for up to {MAX_ALONE} cells")
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
@@ -65,46 +63,6 @@ def flat_mask(dem: Raster, max_alone: int = MAX_ALONE) -> DataFrame:
     return cells.groupBy("g").applyInArrow(run, "x int, y int, mask int, label long")
 
 
-
-def _near(df: DataFrame, *keep: str) -> DataFrame:
-    step = F.explode(F.array(*[F.struct((F.col("x") + DX[n]).cast("int").alias("x"), (F.col("y") + DY[n]).cast("int").alias("y")) for n in range(1, 9)])).alias("q")
-    return df.select(*keep, step).select(*keep, "q.x", "q.y")
-
-
-def _distance(start: DataFrame, inside: DataFrame) -> DataFrame:
-    """x, y, label, k: steps from the start cells through the inside ones of the same label."""
-    front = cut(start.select("x", "y", "label").distinct())
-    found, k = front.withColumn("k", F.lit(1)), 1
-    while not front.isEmpty():
-        k += 1
-        near = _near(front, "label").distinct().join(inside, ["x", "y", "label"], "left_semi")
-        front = cut(near.join(found, ["x", "y"], "left_anti"))
-        found = found.unionByName(front.withColumn("k", F.lit(k)))
-    return found
-
-
-def _mask_in_rounds(dem: Raster) -> DataFrame:
-    kinds = cut(flat_edges(dem))
-    flat = find_flats(dem).cells.where("z = 1").select("x", "y")
-    part = cut(dem.cells.join(flat.union(kinds.where("kind = 1").select("x", "y")).distinct(), ["x", "y"], "left_semi"))
-    label = cut(part.select("x", "y", "z", dem.flat_id.alias("label")))
-    while True:  # the smallest id spreads within cells of equal height
-        reach = _near(label.select("x", "y", F.col("z").alias("nz"), F.col("label").alias("l")), "nz", "l").join(label, ["x", "y"]).where("nz = z").groupBy("x", "y").agg(F.min("l").alias("l"))
-        new = cut(label.join(reach, ["x", "y"], "left").select("x", "y", "z", F.least("label", F.coalesce("l", "label")).alias("label")))
-        if new.exceptAll(label).isEmpty():
-            break
-        label = new
-    low = kinds.where("kind = 1").join(label, ["x", "y"]).select("x", "y", "label")
-    drained = label.join(low.select("label").distinct(), "label", "left_semi")
-    inside = cut(drained.join(flat, ["x", "y"], "left_semi").select("x", "y", "label"))
-    high = kinds.where("kind = 2").join(inside, ["x", "y"]).select("x", "y", "label")
-    away, towards = _distance(high, inside), _distance(low, inside)
-    height = away.groupBy("label").agg(F.max("k").alias("height"))
-    both = drained.select("x", "y", "label").join(away.select("x", "y", F.col("k").alias("a")), ["x", "y"], "left").join(towards.select("x", "y", F.col("k").alias("t")), ["x", "y"], "left").join(height, "label", "left")
-    mask = F.when(F.col("t").isNotNull(), F.coalesce(F.col("height") - F.col("a"), F.lit(0)) + 2 * F.col("t")).otherwise(-F.coalesce("a", F.lit(0)))
-    return dem.cells.select("x", "y").join(both.select("x", "y", mask.alias("mask"), "label"), ["x", "y"], "left").select("x", "y", F.coalesce("mask", F.lit(0)).cast("int").alias("mask"), "label")
-
-
 def resolve_epsilon(dem: Raster) -> Raster:
     """Flats raised by the least amounts that make them drain."""
 

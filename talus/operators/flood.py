@@ -26,7 +26,7 @@ from talus.plans.checkpoints import cut
 from talus.plans.halo import TILE, over_tiles, rows, shifted
 from talus.raster import Raster
 
-MAX_ALONE = 1 << 26
+MAX_ALONE = 1 << 22
 #: Passes between labels that the driver solves by itself; more are relaxed as a DataFrame.
 MAX_PASSES = 2_000_000
 

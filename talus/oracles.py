@@ -155,12 +155,14 @@ SQL: dict[str, str] = {
     "has_depressions": f"WITH RECURSIVE {dem()}, {STEPS}, {around()}, {filled()} SELECT bool_or(w > z) AS has_depressions FROM fill JOIN dem USING (x, y)",
     "bucket_fill": f"WITH RECURSIVE {dem()}, {STEPS}, check_ AS MATERIALIZED (SELECT x, y, (z > 30)::INT AS z FROM dem), hit AS (SELECT x, y FROM check_ WHERE z = 1 AND NOT ({inner()}) UNION SELECT b.x, b.y FROM hit CROSS JOIN steps JOIN check_ b ON b.x = hit.x + dx AND b.y = hit.y + dy WHERE b.z = 1) SELECT dem.x, dem.y, CASE WHEN hit.x IS NULL THEN dem.z ELSE -1.0 END AS z FROM dem LEFT JOIN hit USING (x, y)",
     "mosaic": f"WITH {dem()} SELECT x, y, z FROM dem WHERE NOT (x >= 32 AND y >= 32)",
-    "perlin_like_other": "SELECT x::INT AS x, y::INT AS y, 3.5::DOUBLE AS z FROM range(20) a(x) CROSS JOIN range(10) b(y)",
+    "like_other": "SELECT x::INT AS x, y::INT AS y, 3.5::DOUBLE AS z FROM range(64) a(x) CROSS JOIN range(64) b(y)",
     "loop_check": "SELECT x::INT AS x, y::INT AS y FROM range(4) a(x) CROSS JOIN range(3) b(y)",
-    "dh_seeds": f"WITH {dem()}, {STEPS}, {around()} SELECT x, y FROM near WHERE {inner()} GROUP BY x, y, z HAVING NOT bool_or(nz < z)",
+    "dh_seeds": f"WITH {dem()}, {STEPS}, {around()}, kinds AS (SELECT x, y, z, {inner()} AS land, bool_or(nz IS NOT NULL AND nx > 0 AND ny > 0 AND nx < 63 AND ny < 63) AS coast, bool_or(nz IS NULL OR nx = 0 OR ny = 0 OR nx = 63 OR ny = 63 OR nz < z) AS lower FROM near GROUP BY x, y, z) SELECT x, y, CASE WHEN land THEN 2 ELSE 1 END AS kind FROM kinds WHERE CASE WHEN land THEN NOT lower ELSE coast END",
 }
 SQL |= {name: _attribute(expr, name) for name, expr in ATTRIBUTES.items()}
 SQL |= {f"{name}_holes": _attribute(ATTRIBUTES[name], name, 128) for name in ("slope_riserun", "curvature")}
 _EXPONENTS = {"d8": 1.0, "d4": 1.0, "quinn": 1.0, "freeman": 1.1, "holmgren": 4.0, "dinf": 1.0}
 SQL |= {f"fm_{m}": f"WITH {edges(m, 64, e)} SELECT x, y, n::INT AS n, nx::INT AS nx, ny::INT AS ny, round(p, 6) AS p FROM edges" for m, e in _EXPONENTS.items()}
 SQL |= {f"fa_{m}": f"WITH RECURSIVE {edges(m, 64, e)}, {accumulated()} SELECT x, y, round(a, 6) AS a FROM acc" for m, e in _EXPONENTS.items()}
+# the same over smaller tiles, so that cells lie on both sides of many borders
+SQL |= {f"{name}_tiles": SQL[name] for name in ("fa_d8", "fa_freeman", "fill_d8")}

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import accumulate, flats, flood, flow, terrain
+from talus.operators import accumulate, flats, flood, flow, hierarchy, terrain
+from talus.plans.checkpoints import cut
 from talus.raster import Raster
+from talus.sources import grids
 from talus.sources.datasets import dem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +131,22 @@ def _bucket(spark, d):
 
 def _seeds(spark, d):
     r = dem(spark, d)
-    return flats.find_flats(r).cells.where("z = 1").select("x", "y")
+    return hierarchy.seeds(r, r.is_edge)
+
+
+def _outlets(spark, d):
+    r = dem(spark, d)
+    return hierarchy.outlets(r, cut(hierarchy.basins(r, r.is_edge)))
+
+
+def _depressions(spark, d):
+    r = dem(spark, d)
+    return _rounded(hierarchy.table(spark, hierarchy.hierarchy(r, r.is_edge)[1]), "volume")
+
+
+def _rained(spark, d):
+    r = dem(spark, d)
+    return _rounded(hierarchy.fill_spill_merge(r, r.map(lambda z: F.lit(5.0)), r.is_edge)[0].cells, "z")
 
 
 def _mosaic(spark, d):
@@ -211,8 +228,15 @@ QUERIES: dict[str, Query] = {
     "breach_constrained": _cells(lambda r: flood.breach(r, "constrained", max_length=4, max_depth=20.0)),
     "bucket_fill": _bucket,
     "mosaic": _mosaic,
-    "perlin_like_other": lambda s, d: Raster.filled(s, 20, 10, 0.0).like(3.5).cells,
+    "like_other": _cells(lambda r: r.like(3.5)),
+    "perlin": lambda s, d: _rounded(grids.perlin(s, 64, 7).cells, "z"),
     "dh_seeds": _seeds,
+    "dh_outlets": _outlets,
+    "dh_depressions": _depressions,
+    "fill_spill_merge": _rained,
+    "fa_d8_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "D8", tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
+    "fa_freeman_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "Freeman", 1.1, tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
+    "fill_d8_tiles": _cells(lambda r: flood.fill(r, tile=16)),
     "rho8": _metric("Rho8"),
     "rho4": _metric("Rho4"),
 }
