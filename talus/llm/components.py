@@ -2,9 +2,13 @@
 
 Each round joins every node with the smallest id beside it, first for larger
 neighbours, then for smaller ones, until all components are stars around their
-smallest node: O(log n) rounds for usual graphs. Only minima are aggregated
-(with map-side combine), so a node with very many neighbours is never gathered
-in one task. Rounds are cut with checkpoint(), which survives lost executors.
+smallest node: O(log n) rounds for usual graphs. Minima are aggregated with
+map-side combine and joined back to the edges; the edges of a node with very
+many neighbours meet in one partition of that join, which adaptive planning
+splits. Rounds are cut with checkpoint(), which survives lost executors.
+
+Defined cases: edges from a node to itself and nulls are left out, repeated
+edges count once; no edges give no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ before any of this.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; with fewer words than a shingle the whole sequence is one;
-repeated rows come out once each, with the same component.
+repeated rows come out once each, with the same component; rows that share a
+doc_id but not the text have fingerprints and components of their own; rows
+without a doc_id are linked too, and a component of only such rows has a null id.
 """
 
 from __future__ import annotations
@@ -185,8 +187,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RAD
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
     ensure_checkpoints(documents.sparkSession)
     prints = fingerprint(documents, size).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    # a null doc_id is a row of its own kind: it has a fingerprint and takes the component of that
-    found = components(links(nodes.where("node IS NOT NULL"), radius))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # nodes go by their fingerprints: a doc_id may stand for several texts, or be null
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
+    placed = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    classes = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -61,3 +61,20 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (2, "h i j k l m n")]
     found = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted((r.doc_id, r.text) for r in found.collect()) == rows[:2]
+
+
+def test_simhash_rows_of_one_id(spark):
+    """Different texts of one doc_id aren't one component, and null ids don't get lost."""
+    from talus.llm import simhash
+
+    rows = [(7, "one two three four five"), (7, "six seven eight nine ten"), (3, "six seven eight nine ten"), (None, "one two three four five"), (None, "alone here with these words")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 7), (3, 3), (7, 3), (7, 7)]
+
+
+def test_components_of_awkward_edges(spark):
+    from talus.llm.components import components
+
+    edges = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (2, 3), (None, 5), (9, 4), (4, 3)], "u long, v long")
+    assert sorted(map(tuple, components(edges).collect())) == [(2, 2), (3, 2), (4, 2), (9, 2)]
+    assert components(edges.limit(0)).count() == 0
