@@ -126,8 +126,10 @@ def fill(dem: Raster, neighbours: int = 8, tile: int = TILE) -> Raster:
         met = reach.join(border, ["x", "y"]).where("(tx <> tx1 OR ty <> ty1) AND a < name")
         between = met.groupBy("a", F.col("name").alias("b")).agg(F.min(F.greatest("z", "z1")).alias("v"))
     levels = _levels(inner if between is None else inner.unionByName(between))
-    named = cells.withColumn("label", _name("a"))
-    out = named.join(levels, "label", "left").select("x", "y", F.when(F.col("z").isNotNull(), F.greatest("z", "level")).alias("z"))
+    # what drains in its own tile is done; joined, it would all be one key
+    done = cells.where("a = 0").select("x", "y", "z")
+    rest = cells.where("a <> 0").withColumn("label", _name("a"))
+    out = done.unionByName(rest.join(levels, "label", "left").select("x", "y", F.when(F.col("z").isNotNull(), F.greatest("z", "level")).alias("z")))
     return dem.with_cells(out, "fill depressions")
 
 

@@ -114,3 +114,100 @@ def test_mismatched_sizes(spark):
     assert not a.equals(b)
     with pytest.raises(ValueError):
         a.diff_stats(b)
+
+
+def test_flood_directions_lead_out(spark, z):
+    """Each cell's way leads to the rim, never over a cell that is filled higher than itself."""
+    r = Raster.from_numpy(spark, z, -9999.0)
+    code, level = flood.flood_directions(r).to_numpy(), minimax(z)
+    step = dict(enumerate([(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)], 1))
+    h, w = z.shape
+    for y in range(h):
+        for x in range(w):
+            a, b, n = x, y, 0
+            while 0 < a < w - 1 and 0 < b < h - 1:
+                dx, dy = step[int(code[b, a])]
+                assert level[b + dy, a + dx] <= level[b, a]
+                a, b, n = a + dx, b + dy, n + 1
+                assert n < z.size
+
+
+def test_watersheds_are_whole(spark, z):
+    """Each label is one connected area with the cell that names it on the rim."""
+    label = flood.watersheds(Raster.from_numpy(spark, z, -9999.0)).to_numpy().astype(int)
+    h, w = z.shape
+    for k in np.unique(label):
+        y0, x0 = divmod(int(k), w)
+        seen, todo = {(y0, x0)}, [(y0, x0)]
+        while todo:
+            y, x = todo.pop()
+            for dx, dy in AROUND:
+                q = (y + dy, x + dx)
+                if 0 <= q[0] < h and 0 <= q[1] < w and label[q] == k and q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+        assert len(seen) == (label == k).sum()
+
+
+@pytest.mark.parametrize("method", ["Rho8", "Rho4"])
+def test_rho(spark, z, method):
+    """One way for each inner cell with lower ground beside it, to lower ground, the same for a seed and not for all seeds."""
+    r = Raster.from_numpy(spark, z, -9999.0)
+    found = [{(e.x, e.y): (e.nx, e.ny, e.p) for e in flow.edges(r, method, seed=s).collect()} for s in (1, 1, 2)]
+    assert found[0] == found[1] and found[0] != found[2]
+    near = [s for s in AROUND if method == "Rho8" or 0 in s]
+    for y in range(1, z.shape[0] - 1):
+        for x in range(1, z.shape[1] - 1):
+            lower = {(x + dx, y + dy) for dx, dy in near if z[y + dy, x + dx] < z[y, x]}
+            way = found[0].get((x, y))
+            assert (way is None) == (not lower) and (way is None or (way[:2] in lower and way[2] == 1.0))
+
+
+def walked(starts, inside, same):
+    """Steps from the starts (1 there) through the inside cells of the same group."""
+    out, front = {q: 1 for q in starts}, list(starts)
+    while front:
+        new = []
+        for x, y in front:
+            for dx, dy in AROUND:
+                q = (x + dx, y + dy)
+                if q in inside and q not in out and same[q] == same[x, y]:
+                    out[q] = out[x, y] + 1
+                    new.append(q)
+        front = new
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_flat_mask(spark, seed):
+    """Gradients by walks from the edges of each flat."""
+    z = np.random.default_rng(seed).integers(0, 3, (13, 15)).astype(float)
+    h, w = z.shape
+    cells = [(x, y) for y in range(h) for x in range(w)]
+    near = {(x, y): [(x + dx, y + dy) for dx, dy in AROUND if 0 <= x + dx < w and 0 <= y + dy < h] for x, y in cells}
+    height = {(x, y): z[y, x] for x, y in cells}
+    flat = {q for q in cells if len(near[q]) == 8 and not any(height[n] < height[q] for n in near[q])}
+    low = {q for q in cells if q not in flat and any(n in flat and height[n] == height[q] for n in near[q])}
+    high = {q for q in flat if any(height[n] > height[q] for n in near[q])}
+    group = {}
+    for q in cells:
+        if q not in group:
+            group[q], todo = q[1] * w + q[0], [q]
+            while todo:
+                for n in near[todo.pop()]:
+                    if n not in group and height[n] == height[q]:
+                        group[n] = group[q]
+                        todo.append(n)
+    drained = {group[q] for q in low}
+    away = walked({q for q in high if group[q] in drained}, flat, group)
+    towards = walked(low, flat, group)
+    top = {}
+    for q, k in away.items():
+        top[group[q]] = max(top.get(group[q], 0), k)
+    want = {}
+    for q in cells:
+        inside = group[q] in drained
+        lift = top[group[q]] - away[q] if q in away else 0
+        want[q] = (lift + 2 * towards[q] if q in towards else -away.get(q, 0), group[q] if inside else None)
+    got = {(r.x, r.y): (r["mask"], r.label) for r in flats.flat_mask(Raster.from_numpy(spark, z, -9999.0)).collect()}
+    assert got == want
