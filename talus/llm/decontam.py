@@ -6,12 +6,15 @@ which item windows end at each word. Only stretches whose neighbouring word
 pairs all occur in the benchmark are streamed: elsewhere the matched length
 cannot reach a window, so nothing is lost.
 
-Scale: the benchmark is a fixed table, broadcast behind a size check (see
-`MAX_BENCHMARK_BYTES`); documents are a narrow map with no shuffle at all.
+Scale: the benchmark is a curated table, broadcast behind a size check; one of
+more than `MAX_BENCHMARK_BYTES` is cut into parts by item, and the documents go
+through the parts one after the other, with what was hit so far beside them.
+Documents are a narrow map with no shuffle at all.
 
 Defined cases: null or empty texts have no words; an item without words is
 ignored; repeated items and repeated documents are each judged on their own;
-extra columns of either table are not read.
+extra columns of either table are not read; one item of more than the bound is
+a part of its own.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import col, replaced, slices, text_bytes
+from talus.llm.common import col, ensure_checkpoints, replaced, slices, text_bytes
 
 WINDOW = 8
 #: Share of hit words beyond which a document is dropped as a whole.
 MAX_COVERAGE = 0.5
-#: Items and their automaton are held by every task. Benchmarks are curated tables of a few MB; more is refused.
+#: Text of the items whose automaton a task holds at a time.
 MAX_BENCHMARK_BYTES = 64 << 20
+#: Columns beside the documents between parts of a large benchmark: bits of hit words, items.
+_HIT, _ITEMS = "__talus_hit", "__talus_items"
 
 _SEPARATORS = [b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]
 _LOWER = bytes(32 if b in set(_SEPARATORS) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -188,12 +193,48 @@ def _byte_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return spans
 
 
-def _matcher(benchmark: DataFrame, window: int) -> Matcher:
+def _matchers(benchmark: DataFrame, window: int, bound: int) -> Iterator[Matcher]:
+    """A matcher of each part of the benchmark."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark texts take {size} bytes; the automaton is bounded to {MAX_BENCHMARK_BYTES}")
-    items = [(str(r[0]), r[1].encode()) for r in benchmark.select("item_id", "text").collect() if r[0] is not None and r[1]]
-    return Matcher(sorted(items), window)
+    parts = max(1, -(-size // bound))
+    for k in range(parts):
+        own = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        items = [(str(r[0]), r[1].encode()) for r in own.collect() if r[0] is not None and r[1]]
+        yield Matcher(sorted(items), window)
+
+
+def _match(matcher: Matcher, batch: pa.RecordBatch, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Where each document's words start, which are hit and the items of each document, with what earlier parts have found."""
+    starts, hit, found = matcher.match(docs)
+    names, items = matcher.automaton.names, [set() for _ in docs]
+    for i, who in found.items():
+        items[int(np.searchsorted(starts, i, "right")) - 1].update(names[k] for k in who)
+    if _HIT in batch.schema.names:
+        for d, (bits, known) in enumerate(zip(col(batch, _HIT).to_pylist(), col(batch, _ITEMS).to_pylist())):
+            items[d].update(known or ())
+            if bits:
+                hit[starts[d] : starts[d + 1] - 1] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(docs[d])).astype(bool)
+    return starts, hit, items
+
+
+def _through_parts(documents: DataFrame, matchers: Iterator[Matcher]) -> tuple[DataFrame, Matcher]:
+    """The documents after all parts but the last, which is left to the caller."""
+    spark, last = documents.sparkSession, next(matchers)
+    for following in matchers:
+        held = spark.sparkContext.broadcast(last)
+        before = documents if _HIT in documents.columns else documents.withColumns({_HIT: F.lit(None).cast("binary"), _ITEMS: F.lit(None).cast("array<string>")})
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    starts, hit, items = _match(held.value, batch, [words(t) for t in text_bytes(col(batch, "text"))])
+                    bits = [np.packbits(hit[a : b - 1]).tobytes() for a, b in zip(starts[:-1], starts[1:])]
+                    arrays = [*batch.columns[:-2], pa.array(bits, batch.schema.field(_HIT).type), pa.array([sorted(x) for x in items], batch.schema.field(_ITEMS).type)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+        ensure_checkpoints(spark)
+        documents, last = before.mapInArrow(run, before.schema).checkpoint(), following
+    return documents, last
 
 
 def _without(text: bytes, spans: list[dict[str, int]]) -> str:
@@ -201,9 +242,11 @@ def _without(text: bytes, spans: list[dict[str, int]]) -> str:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode()
 
 
-def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, bound: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """The documents with benchmark passages cut out of their texts, without those that such passages cover too far."""
-    held = documents.sparkSession.sparkContext.broadcast(_matcher(benchmark, window))
+    schema = documents.schema
+    documents, last = _through_parts(documents, _matchers(benchmark, window, bound))
+    held = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,7 +254,8 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
                 raw = text_bytes(col(batch, "text"))
                 texts, stays = col(batch, "text").to_pylist(), [True] * len(raw)
                 docs = [words(t) for t in raw]
-                starts, hit, _ = held.value.match(docs)
+                starts, hit, _ = _match(held.value, batch, docs)
+                batch = batch.select(schema.names) if _HIT in batch.schema.names else batch
                 total = np.concatenate(([0], np.cumsum(hit)))
                 for d in np.flatnonzero(total[starts[1:]] > total[starts[:-1]]):
                     own = hit[starts[d] : starts[d + 1] - 1]
@@ -220,10 +264,10 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
                 made = replaced(batch, texts) if hit.any() else batch
                 yield made.filter(pa.array(stays, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, schema)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, with_text: bool = True) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, with_text: bool = True, bound: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """Finds and cuts benchmark passages.
 
     Per document: doc_id, n_words, n_hit (words inside any window of an item),
@@ -232,21 +276,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     (more than `max_coverage` of the words are hit). Spans and text are null
     when `with_text` is false.
     """
-    held = documents.sparkSession.sparkContext.broadcast(_matcher(benchmark, window))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    documents, last = _through_parts(documents, _matchers(benchmark, window, bound))
+    held = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = held.value
-        names = matcher.automaton.names
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, texts = col(batch, "doc_id").to_pylist(), text_bytes(col(batch, "text"))
                 docs = [words(t) for t in texts]
-                starts, hit, found = matcher.match(docs)
+                starts, hit, items = _match(held.value, batch, docs)
                 total = np.concatenate(([0], np.cumsum(hit)))
                 n_hit = total[starts[1:]] - total[starts[:-1]]
-                items: list[set[str]] = [set() for _ in docs]
-                for i, who in found.items():
-                    items[int(np.searchsorted(starts, i, "right")) - 1].update(names[k] for k in who)
                 spans, clean = [None] * len(docs), [None] * len(docs)
                 if with_text:
                     for d, text in enumerate(texts):
@@ -259,7 +300,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "n_words", "n_hit", "items", "spans", "clean_text", "dropped"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return documents.mapInArrow(run, _SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:

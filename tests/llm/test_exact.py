@@ -81,6 +81,8 @@ def test_decontamination(spark, docs, rows):
         want.append((d, len(w), len(hit), len(who), sha(",".join(sorted(who))), len(who) >= 2))
     got = by_id(decontam.digest(decontam.decontaminate(docs, benchmark, with_text=False)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(want)
+    parts = by_id(decontam.digest(decontam.decontaminate(docs, benchmark, with_text=False, bound=900)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert parts == got and len(list(decontam._matchers(benchmark, 8, 900))) > 2
     assert {r[3] for r in by_id(decontam.digest(decontam.decontaminate(docs, benchmark.limit(0), with_text=False)), "n_words", "n_hit", "n_items")} == {0}
 
 
@@ -195,3 +197,17 @@ def test_token_counts(docs, rows, empty):
     want = [(d, len(w), sum(tokens(tokencount.SPACE + x) for x in w)) for d, t in rows for w in [SPACES.findall(t or "")]]
     assert by_id(tokencount.token_counts(docs, pieces), "n_words", "n_tokens") == sorted(want)
     assert tokencount.token_counts(empty, pieces).count() == 0
+
+
+def test_cleaned(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    prose = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"{prose}, I0 {item[3:]}! {prose}", 7), (2, f"some {item} words", 8), (3, None, 9), (3, None, 9), (None, prose, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_hit long")
+    for bound in (1 << 20, 20):
+        benchmark = spark.createDataFrame([(1, item), (2, "other words that stand in no document at all"), (3, None)], "item_id long, text string")
+        found = sorted((r.doc_id or 0, r.text, r.n_hit) for r in decontam.cleaned(docs, benchmark, bound=bound).collect() if r.text)
+        # cut out of the first, which it covers in part; the second is mostly benchmark and goes
+        assert found == [(0, prose, 1), (1, f"{prose}, ! {prose}", 7)]
+        assert decontam.cleaned(docs, benchmark, bound=bound).where("text IS NULL").count() == 2
+        assert decontam.cleaned(docs, benchmark, bound=bound).columns == docs.columns
