@@ -1,16 +1,24 @@
 """Flow accumulation and traversals of the flow graph.
 
 Accumulation is linear, so each tile sums its own cells in order of flow and
-hands on what leaves it; tiles that get something do the same with that alone,
-until nothing crosses a border. Rounds are the tiles along the longest path,
-not its cells; edges are dealt to tiles once and stay there.
+hands on what leaves it, and what comes in is passed down the same way. Edges
+are dealt to tiles once and stay there.
+
+Where a cell flows to one other (D8, D4 and their random forms) there are two
+passes: the first also tells through which border cell a tile lets out what
+comes in at each of its own, so that only cells at borders are left to solve,
+by pointer doubling in log2 of their number rounds. Where flow divides, tiles
+that got something pass it on until nothing crosses a border: rounds are the
+tiles along the longest path, not its cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.topology import DX, DY, codes
@@ -22,8 +30,35 @@ from talus.raster import Raster
 MAX_ROUNDS = 10_000
 
 
+SWEPT = "x int, y int, w double, kind int, next long"
+
+
+def _swept(ids: np.ndarray, w: np.ndarray, kind: np.ndarray, after: np.ndarray, width: int) -> pa.Table:
+    return pa.table({"x": (ids % width).astype(np.int32), "y": (ids // width).astype(np.int32), "w": w, "kind": kind.astype(np.int32), "next": pa.array(after, pa.int64(), mask=after < 0)})
+
+
+def _links(edges: pa.Table, width: int, tile: int) -> pa.Table:
+    """kind 2: border cells of a tile whose flow, to one cell each, leaves it, and where to."""
+    x, y, nx, ny, inner = (edges.column(c).to_numpy() for c in ("x", "y", "nx", "ny", "nx_in"))
+    source, target = y.astype(np.int64) * width + x, ny.astype(np.int64) * width + nx
+    cells = np.unique(np.concatenate((source, target[inner])))
+    at, out = np.arange(len(cells)), np.full(len(cells), -1, dtype=np.int64)
+    s = np.searchsorted(cells, source)
+    at[s[inner]] = np.searchsorted(cells, target[inner])
+    out[s[~inner]] = target[~inner]
+    for _ in range(len(cells).bit_length()):
+        at = at[at]
+    out = out[at]  # cells on a loop in the tile have no way out
+    cx, cy = cells % width % tile, cells // width % tile
+    rim = ((cx == 0) | (cy == 0) | (cx == tile - 1) | (cy == tile - 1)) & (out >= 0)
+    return _swept(cells[rim], np.zeros(rim.sum()), np.full(rim.sum(), 2), out[rim], width)
+
+
 def _sweep(edges: pa.Table, given: pa.Table, width: int) -> pa.Table:
     """Passes what is given down the tile's edges; kind 0: what each cell passed or kept, 1: what left the tile."""
+    if not len(given):
+        none = np.zeros(0, dtype=np.int64)
+        return _swept(none, none.astype(float), none, none, width)
     names = ["x", "y", "nx", "ny", "p", "nx_in"]
     x, y, nx, ny, p, inner = (edges.column(c).to_numpy() for c in names)
     gx, gy, gw = (given.column(c).to_numpy() for c in ("x", "y", "w"))
@@ -53,44 +88,83 @@ def _sweep(edges: pa.Table, given: pa.Table, width: int) -> pa.Table:
         ready = touched[waits[touched] == 0]
     leaves = order[~inner[order] & done[s[order]]]
     keep = total != 0
-    parts = [(cells[keep], total[keep], 0), (target[leaves], total[s[leaves]] * p[leaves], 1)]
-    ids, w = np.concatenate([a for a, _, _ in parts]), np.concatenate([b for _, b, _ in parts])
-    kind = np.concatenate([np.full(len(a), k, dtype=np.int32) for a, _, k in parts])
-    some = w != 0
-    return pa.table({"x": (ids[some] % width).astype(np.int32), "y": (ids[some] // width).astype(np.int32), "w": w[some], "kind": kind[some]})
+    ids, w = np.concatenate((cells[keep], target[leaves])), np.concatenate((total[keep], total[s[leaves]] * p[leaves]))
+    return _swept(ids, w, np.repeat([0, 1], [keep.sum(), len(leaves)]), np.full(len(ids), -1), width)
+
+
+def _at_borders(amounts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What comes in at each border cell (id, s), and the cells (id) on loops across tiles, if any; then the first is void.
+
+    amounts: id, w, what tiles give of their own; links: id, next. After k rounds s holds all from less than 2**k steps above.
+    """
+    now = cut(amounts.join(links, "id", "left").select("id", "next", F.col("w").alias("s")))
+    n, steps = now.count(), 1
+    while not now.where("next IS NOT NULL").isEmpty():
+        if steps > n:
+            return now, now.where("next IS NOT NULL").select(F.col("next").alias("id")).distinct()
+        above = now.where("next IS NOT NULL").groupBy(F.col("next").alias("id")).agg(F.sum("s").alias("more"))
+        hop = now.select(F.col("id").alias("next"), F.col("next").alias("after"))
+        now = cut(now.join(above, "id", "left").join(hop, "next", "left").select("id", F.col("after").alias("next"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
+        steps *= 2
+    return now, None
 
 
-def flow_accumulation(edges: DataFrame, weights: Raster, tile: int = TILE, off_grid_ok: bool = True) -> Raster:
+def _in_tile(c: str, tile: int) -> Column:
+    return F.floor(F.col(c) / tile).cast("int")
+
+
+def _over(dealt: DataFrame, given: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, tile: int) -> DataFrame:
+    """kernel(edges, given) of each tile."""
+    at = given.withColumn("tx", _in_tile("x", tile)).withColumn("ty", _in_tile("y", tile))
+    return cut(dealt.groupBy("tx", "ty").cogroup(at.groupBy("tx", "ty")).applyInArrow(lambda a, b: kernel(a, b), schema))
+
+
+def _two_passes(dealt: DataFrame, given: DataFrame, width: int, tile: int) -> DataFrame:
+    """x, y, w, in parts to be added up, where each cell flows to one other."""
+
+    def first(edges: pa.Table, own: pa.Table) -> pa.Table:
+        return pa.concat_tables((_sweep(edges, own, width), _links(edges, width, tile)))
+
+    made = _over(dealt, given, first, SWEPT, tile)
+    here, out = made.where("kind = 0").select("x", "y", "w"), made.where("kind = 1")
+    if out.isEmpty():
+        return here
+    cell = (F.col("y").cast("long") * width + F.col("x")).alias("id")
+    place = lambda df, *more: df.select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"), *more)
+    came, on_loops = _at_borders(out.groupBy(cell).agg(F.sum("w").alias("w")), made.where("kind = 2").select(cell, "next"))
+    if on_loops is not None:
+        # a loop's cells don't pass anything on, in whatever tile they lie
+        ring = _over(dealt, place(on_loops), lambda a, b: _walk(a, b, width), "x int, y int, kind int", tile).where("kind = 0")
+        return _two_passes(cut(dealt.join(ring.select("x", "y").distinct(), ["x", "y"], "left_anti")), given, width, tile)
+    passed = _over(dealt, place(came.where("s <> 0"), F.col("s").alias("w")), lambda a, b: _sweep(a, b, width), SWEPT, tile)
+    return here.unionByName(passed.where("kind = 0").select("x", "y", "w"))
+
+
+def _rounds(dealt: DataFrame, given: DataFrame, width: int, tile: int) -> DataFrame:
+    """x, y, w, in parts to be added up, where flow may divide."""
+    total = None
+    for _ in range(MAX_ROUNDS):
+        made = _over(dealt, given, lambda a, b: _sweep(a, b, width), SWEPT, tile)
+        here = made.where("kind = 0").select("x", "y", "w")
+        total = here if total is None else total.unionByName(here)
+        given = made.where("kind = 1 AND w <> 0").groupBy("x", "y").agg(F.sum("w").alias("w"))
+        if given.isEmpty():
+            return total
+    raise RuntimeError("flow crosses tiles without end: the directions have loops")
+
+
+def flow_accumulation(edges: DataFrame, weights: Raster, tile: int = TILE, single: bool = False) -> Raster:
     """Each cell's weight with what flows into it from above. weights: z is the cell's own; NoData stays NoData.
 
-    Cells on a loop, and below one, keep what reached them before it.
+    single: each cell has one edge at most, of share 1. Then cells on a loop keep what reaches them from outside it.
+    Where flow divides, cells on a loop within a tile, and below one, keep what reached them before it; a loop across tiles is an error.
     """
     width = weights.meta.width
-    in_tile = lambda x, y: (F.floor(F.col(x) / tile).cast("int"), F.floor(F.col(y) / tile).cast("int"))
-    tx, ty = in_tile("x", "y")
-    ntx, nty = in_tile("nx", "ny")
+    tx, ty, ntx, nty = (_in_tile(c, tile) for c in ("x", "y", "nx", "ny"))
     live = edges.join(weights.cells.where("z IS NOT NULL").select(F.col("x").alias("nx"), F.col("y").alias("ny")), ["nx", "ny"], "left_semi")
     dealt = cut(live.select("x", "y", "nx", "ny", "p", tx.alias("tx"), ty.alias("ty"), ((tx == ntx) & (ty == nty)).alias("nx_in")).repartition("tx", "ty"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _sweep(left, right, width)
-
     given = weights.cells.where("z IS NOT NULL").select("x", "y", F.col("z").cast("double").alias("w"))
-    parts = []
-    for _ in range(MAX_ROUNDS):
-        at = given.withColumn("tx", tx).withColumn("ty", ty)
-        grouped = dealt.groupBy("tx", "ty").cogroup(at.groupBy("tx", "ty"))
-        made = cut(grouped.applyInArrow(lambda a, b: run(a, b), "x int, y int, w double, kind int"))
-        parts.append(made.where("kind = 0").select("x", "y", "w"))
-        given = made.where("kind = 1").groupBy("x", "y").agg(F.sum("w").alias("w"))
-        if made.where("kind = 1").isEmpty():
-            break
-    else:
-        raise RuntimeError("flow crosses tiles without end: the directions have loops")
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    total = total.groupBy("x", "y").agg(F.sum("w").alias("w"))
+    total = (_two_passes if single else _rounds)(dealt, given, width, tile).groupBy("x", "y").agg(F.sum("w").alias("w"))
     cells = weights.cells.join(total, ["x", "y"], "left").select("x", "y", F.when(F.col("z").isNotNull(), F.coalesce("w", F.lit(0.0))).alias("z"))
     return weights.with_cells(cells, "flow accumulation", no_data=-1)
 
@@ -100,12 +174,12 @@ def accumulation(dem: Raster, method: str, exponent: float | None = None, weight
     own = weights or dem.map(lambda z: F.when(z.isNotNull(), F.lit(1.0)))
     if weights is not None:
         dem._same_size(weights)
-    return flow_accumulation(flow.edges(dem, method, exponent, seed), own, tile)
+    return flow_accumulation(flow.edges(dem, method, exponent, seed), own, tile, single=method[-1] in "48")
 
 
 def d8_area(directions: Raster, tile: int = TILE) -> Raster:
     """How many cells drain through each cell, itself included."""
-    return flow_accumulation(flow.edges_of_d8(directions), directions.map(lambda z: F.when(z.isNotNull(), F.lit(1.0))), tile)
+    return flow_accumulation(flow.edges_of_d8(directions), directions.map(lambda z: F.when(z.isNotNull(), F.lit(1.0))), tile, single=True)
 
 
 def dinf_area(directions: Raster, tile: int = TILE) -> Raster:

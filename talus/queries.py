@@ -93,6 +93,10 @@ def _d8_area(spark, d):
     return accumulate.d8_area(flow.d8_directions(dem(spark, d, trend=10))).cells.select("x", "y", F.col("z").alias("a"))
 
 
+def _d8_area_tiles(spark, d):
+    return accumulate.d8_area(flow.d8_directions(dem(spark, d, trend=10)), tile=16).cells.select("x", "y", F.col("z").alias("a"))
+
+
 def _dinf_area(spark, d):
     return _rounded(accumulate.dinf_area(flow.dinf_directions(dem(spark, d))).cells.select("x", "y", F.col("z").alias("a")), "a")
 
@@ -236,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "fill_spill_merge": _rained,
     "fa_d8_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "D8", tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
     "fa_freeman_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "Freeman", 1.1, tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
+    "d8_area_tiles": _d8_area_tiles,
     "fill_d8_tiles": _cells(lambda r: flood.fill(r, tile=16)),
     "rho8": _metric("Rho8"),
     "rho4": _metric("Rho4"),

@@ -59,13 +59,13 @@ class Raster:
     @staticmethod
     def from_numpy(spark: SparkSession, array, no_data: float, **meta) -> Raster:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         h, w = array.shape
         z = array.astype(float).ravel()
-        i = np.arange(w * h)
-        frame = pd.DataFrame({"x": (i % w).astype("int32"), "y": (i // w).astype("int32"), "z": [None if v == no_data or v != v else float(v) for v in z]})
-        return Raster(spark.createDataFrame(frame, "x int, y int, z double"), RasterMeta(w, h, no_data, **meta))
+        i = np.arange(w * h, dtype=np.int32)
+        table = pa.table({"x": i % w, "y": i // w, "z": pa.array(z, mask=(z == no_data) | np.isnan(z))})
+        return Raster(spark.createDataFrame(table, "x int, y int, z double"), RasterMeta(w, h, no_data, **meta))
 
     def to_numpy(self):
         """A small raster as an array; for windows and tests."""

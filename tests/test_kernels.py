@@ -72,6 +72,37 @@ def test_accumulation_keeps_the_total(spark, z):
         assert ends == pytest.approx(z.size)
 
 
+@pytest.mark.parametrize("tile", [1, 5, 16, 64])
+def test_area_of_any_directions(spark, tile):
+    """Random directions have loops, in tiles and across them; loops keep what comes from outside."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 9, (21, 34)).astype(float)
+    codes[rng.random(codes.shape) < 0.05] = -9999.0
+    codes[4, 3:30], codes[5, 4:31], codes[4, 30], codes[5, 3] = 5, 1, 7, 3  # a long ring
+    step = {1: (-1, 0), 2: (-1, -1), 3: (0, -1), 4: (1, -1), 5: (1, 0), 6: (1, 1), 7: (0, 1), 8: (-1, 1)}
+    cells = {(x, y) for y in range(21) for x in range(34) if codes[y, x] >= 0}
+    to = {(x, y): (x + step[codes[y, x]][0], y + step[codes[y, x]][1]) for x, y in cells if codes[y, x] > 0}
+    to = {c: t for c, t in to.items() if t in cells}
+
+    def way(c):
+        seen = [c]
+        while seen[-1] in to and to[seen[-1]] not in seen:
+            seen.append(to[seen[-1]])
+        return seen
+
+    ring = {c for c in cells if c in to and to.get(way(c)[-1]) == c}
+    assert len(ring) >= 54
+    want = dict.fromkeys(cells, 0)
+    for c in cells:
+        for d in way(c):
+            want[d] += 1
+            if d in ring:
+                break
+    r = Raster.from_numpy(spark, codes, -9999.0)
+    found = {(c.x, c.y): c.z for c in accumulate.d8_area(r, tile).cells.where("z IS NOT NULL").collect()}
+    assert found == want
+
+
 def test_flats_resolve(spark, z):
     r = Raster.from_numpy(spark, np.floor(z / 6), -9999.0)
     level = flood.fill(r)
