@@ -242,3 +242,54 @@ def test_flat_mask(spark, seed):
         want[q] = (lift + 2 * towards[q] if q in towards else -away.get(q, 0), group[q] if inside else None)
     got = {(r.x, r.y): (r["mask"], r.label) for r in flats.flat_mask(Raster.from_numpy(spark, z, -9999.0)).collect()}
     assert got == want
+
+
+@pytest.fixture
+def flat_ground(spark):
+    """Plateaus with holes; the raster, and mask and label of each cell."""
+    rng = np.random.default_rng(3)
+    z = np.floor(rng.random((26, 31)) * 2.2) + (np.arange(31) > 15)
+    z[rng.random(z.shape) < 0.02] = -9999.0
+    z[10:14, 4:12] = 1
+    r = Raster.from_numpy(spark, z, -9999.0)
+    return r, {(c.x, c.y): (c.mask, c.label) for c in flats.flat_mask(r).collect()}
+
+
+def _values(raster):
+    return {(c.x, c.y): c.z for c in raster.cells.collect()}
+
+
+def test_directions_in_flats(spark, flat_ground):
+    """D8: the neighbour of the same flat with the least mask; straight before diagonal, then by code."""
+    r, of = flat_ground
+    before, after, changed = _values(flow.d8_directions(r)), _values(flats.d8_with_flats(r)), 0
+    codes = {step: k for k, step in zip((2, 3, 4, 1, 5, 8, 7, 6), AROUND)}
+    for (x, y), z in before.items():
+        want = z
+        if z == 0 and 0 < x < 30 and 0 < y < 25:
+            mask, label = of[x, y]
+            near = [(of[x + dx, y + dy][0], k % 2 == 0, k) for (dx, dy), k in codes.items() if of[x + dx, y + dy][1] == label]
+            lower = [n for n in near if n[0] < mask]
+            want = min(lower)[2] if lower else 0
+            changed += want > 0
+        assert after[x, y] == want
+    assert changed > 50
+
+
+def test_dinf_directions_in_flats(spark, flat_ground):
+    """What flows within a flat stays in it and goes down the mask."""
+    r, of = flat_ground
+    before, found = _values(flow.dinf_directions(r)), flats.dinf_with_flats(r)
+    after, to = _values(found), {}
+    for e in flow.edges_of_dinf(found).collect():
+        to.setdefault((e.x, e.y), []).append((e.nx, e.ny, e.p))
+    changed = 0
+    for c, z in before.items():
+        if after[c] == z:
+            continue
+        assert z == 0
+        changed += 1
+        mask, label = of[c]
+        ends = [of[nx, ny] for nx, ny, p in to[c] if p > 1e-9]
+        assert ends and all(b == label for _, b in ends) and all(a <= mask for a, _ in ends) and min(a for a, _ in ends) < mask
+    assert changed > 50
