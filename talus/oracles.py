@@ -165,4 +165,10 @@ _EXPONENTS = {"d8": 1.0, "d4": 1.0, "quinn": 1.0, "freeman": 1.1, "holmgren": 4.
 SQL |= {f"fm_{m}": f"WITH {edges(m, 64, e)} SELECT x, y, n::INT AS n, nx::INT AS nx, ny::INT AS ny, round(p, 6) AS p FROM edges" for m, e in _EXPONENTS.items()}
 SQL |= {f"fa_{m}": f"WITH RECURSIVE {edges(m, 64, e)}, {accumulated()} SELECT x, y, round(a, 6) AS a FROM acc" for m, e in _EXPONENTS.items()}
 # the same over smaller tiles, so that cells lie on both sides of many borders
-SQL |= {f"{name}_tiles": SQL[name] for name in ("fa_d8", "fa_freeman", "d8_area", "fill_d8")}
+SQL |= {f"{name}_tiles": SQL[name] for name in ("fa_d8", "fa_freeman", "d8_area", "upslope", "fill_d8")}
+# DEMs of several tiles of the usual size
+SQL |= {f"{name}_wide": _attribute(ATTRIBUTES[name], name, 300) for name in ("slope_riserun", "profile_curvature")}
+SQL |= {
+    "d8_flowdirs_wide": f"WITH {directions(300)} SELECT x, y, z FROM dirs",
+    "fm_quinn_wide": f"WITH {edges('quinn', 300, 1.0)} SELECT x, y, n::INT AS n, nx::INT AS nx, ny::INT AS ny, round(p, 6) AS p FROM edges",
+}

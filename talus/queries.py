@@ -15,6 +15,9 @@ from talus.sources.datasets import dem
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Cells a side of a DEM in four tiles of the usual size.
+WIDE = 300
+
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
@@ -28,8 +31,8 @@ def _attribute(name: str, width: int = 64) -> Query:
     return lambda spark, d: _rounded(terrain.attributes(dem(spark, d, width), (name,)), name)
 
 
-def _metric(method: str, exponent: float | None = None) -> Query:
-    return lambda spark, d: _rounded(flow.edges(dem(spark, d), method, exponent), "p")
+def _metric(method: str, exponent: float | None = None, width: int = 64) -> Query:
+    return lambda spark, d: _rounded(flow.edges(dem(spark, d, width), method, exponent), "p")
 
 
 def _accumulated(method: str, exponent: float | None = None) -> Query:
@@ -105,6 +108,10 @@ def _upslope(spark, d):
     return accumulate.upslope_cells(flow.d8_directions(dem(spark, d, trend=10)), 30, 40, 50, 40).cells.select("x", "y", "z")
 
 
+def _upslope_tiles(spark, d):
+    return accumulate.upslope_cells(flow.d8_directions(dem(spark, d, trend=10)), 30, 40, 50, 40, tile=16).cells.select("x", "y", "z")
+
+
 def _loops(spark, d):
     """Twelve cells on a ring or running into it, beside cells that drain."""
     r = Raster.filled(spark, 6, 3, 3.0)
@@ -184,6 +191,8 @@ QUERIES: dict[str, Query] = {
     **{name: _attribute(name) for name in terrain.ATTRIBUTES},
     "slope_riserun_holes": _attribute("slope_riserun", 128),
     "curvature_holes": _attribute("curvature", 128),
+    "slope_riserun_wide": _attribute("slope_riserun", WIDE),
+    "profile_curvature_wide": _attribute("profile_curvature", WIDE),
     "surface_area": _surface,
     "perimeter_edge": lambda s, d: terrain.perimeter(dem(s, d, 128), "square_edge"),
     "perimeter_count": lambda s, d: terrain.perimeter(dem(s, d, 128), "cell_count"),
@@ -192,9 +201,11 @@ QUERIES: dict[str, Query] = {
     "fm_freeman": _metric("Freeman", 1.1),
     "fm_holmgren": _metric("Holmgren", 4.0),
     "fm_quinn": _metric("Quinn"),
+    "fm_quinn_wide": _metric("Quinn", width=WIDE),
     "fm_dinf": _metric("Dinfinity"),
     "d8_flowdirs": _cells(flow.d8_directions),
     "d8_flowdirs_holes": _cells(flow.d8_directions, 128),
+    "d8_flowdirs_wide": _cells(flow.d8_directions, WIDE),
     "dinf_flowdirs": lambda s, d: _rounded(flow.dinf_directions(dem(s, d)).cells, "z"),
     "arcgis_codes": _arcgis,
     "taudem_codes": _taudem,
@@ -241,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "fa_d8_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "D8", tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
     "fa_freeman_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "Freeman", 1.1, tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
     "d8_area_tiles": _d8_area_tiles,
+    "upslope_tiles": _upslope_tiles,
     "fill_d8_tiles": _cells(lambda r: flood.fill(r, tile=16)),
     "rho8": _metric("Rho8"),
     "rho4": _metric("Rho4"),
