@@ -249,6 +249,62 @@ def reached(links: DataFrame, starts: DataFrame, width: int, tile: int = TILE) -
     raise RuntimeError("the walk does not end")
 
 
+def _stepped(links: pa.Table, given: pa.Table, width: int) -> pa.Table:
+    """Fewest steps d to cells reached from the given ones (x, y, d) over the tile's links (kind 0), and to those beyond the tile (kind 1)."""
+    if not len(given):
+        return pa.table({"x": pa.array([], pa.int32()), "y": pa.array([], pa.int32()), "d": pa.array([], pa.int64()), "kind": pa.array([], pa.int32())})
+    x, y, nx, ny, inner = (links.column(c).to_numpy() for c in ("x", "y", "nx", "ny", "nx_in"))
+    source, target = y.astype(np.int64) * width + x, ny.astype(np.int64) * width + nx
+    start, begin = given.column("y").to_numpy().astype(np.int64) * width + given.column("x").to_numpy(), given.column("d").to_numpy()
+    cells = np.unique(np.concatenate((source, target, start)))
+    order = np.argsort(source, kind="stable")
+    s, t, stays = np.searchsorted(cells, source[order]), np.searchsorted(cells, target[order]), inner[order]
+    first = np.searchsorted(s, np.arange(len(cells) + 1))
+    far = np.iinfo(np.int64).max
+    d, beyond = np.full(len(cells), far), np.full(len(cells), far)
+    late = np.argsort(begin, kind="stable")
+    seeds, begin = np.searchsorted(cells, start[late]), begin[late]
+    np.minimum.at(d, seeds, begin)
+    front, k, at = np.zeros(0, dtype=np.int64), int(begin[0]), 0
+    while True:
+        to = int(np.searchsorted(begin, k, side="right"))
+        due = seeds[at:to]
+        front, at = np.unique(np.concatenate((front, due[d[due] == k]))), to
+        if not len(front):
+            if at == len(seeds):
+                break
+            k = int(begin[at])
+            continue
+        counts = first[front + 1] - first[front]
+        picks = np.repeat(first[front] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        out = t[picks[~stays[picks]]]
+        beyond[out] = np.minimum(beyond[out], k + 1)
+        front, k = np.unique(t[picks[stays[picks]]]), k + 1
+        front = front[d[front] > k]
+        d[front] = k
+    here, there = d < far, beyond < far
+    ids = np.concatenate((cells[here], cells[there]))
+    return pa.table({"x": (ids % width).astype(np.int32), "y": (ids // width).astype(np.int32), "d": np.concatenate((d[here], beyond[there])), "kind": np.repeat([0, 1], [here.sum(), there.sum()]).astype(np.int32)})
+
+
+def distances(links: DataFrame, starts: DataFrame, width: int, tile: int = TILE) -> DataFrame:
+    """x, y, d: the fewest cells on a way over links from a start (1 there). Rounds are tiles crossed; only what is nearer than known goes on."""
+    tx, ty, ntx, nty = (_in_tile(c, tile) for c in ("x", "y", "nx", "ny"))
+    dealt = cut(links.select("x", "y", "nx", "ny", tx.alias("tx"), ty.alias("ty"), ((tx == ntx) & (ty == nty)).alias("nx_in")).repartition("tx", "ty"))
+    rim = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
+    least = lambda df: df.groupBy("x", "y").agg(F.min("d").alias("d"))
+    given, found, known = starts.select("x", "y", F.lit(1).cast("long").alias("d")).distinct(), None, None
+    for _ in range(MAX_ROUNDS):
+        made = _over(dealt, given, lambda a, b: _stepped(a, b, width), "x int, y int, d long, kind int", tile)
+        here = made.where("kind = 0").select("x", "y", "d")
+        found = here if found is None else found.unionByName(here)
+        known = cut(least(here.where(rim) if known is None else known.unionByName(here.where(rim))))
+        given = cut(least(made.where("kind = 1")).join(known.withColumnRenamed("d", "old"), ["x", "y"], "left").where("old IS NULL OR d < old").select("x", "y", "d"))
+        if given.isEmpty():
+            return least(found)
+    raise RuntimeError("the walk does not end")
+
+
 def upslope_cells(directions: Raster, x0: int, y0: int, x1: int, y1: int, tile: int = TILE) -> Raster:
     """2 on the line, 1 for cells whose flow reaches it, NoData elsewhere."""
     on_line = [(x, y) for x, y in line_cells(x0, y0, x1, y1) if 0 <= x < directions.meta.width and 0 <= y < directions.meta.height]

@@ -1,23 +1,24 @@
 """Flats: finding them, making them drain, and directions within them.
 
-Finding flats and their edges is focal, in tiles. The gradients need whole
-flats: the raster is one group of a vectorised kernel, of `MAX_ALONE` cells at
-most, and refused beyond.
+Finding flats and their edges is focal, in tiles. Flats and the gradients in
+them run across tiles: groups by components, gradients in rounds of tiles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import flats as kernels
 from talus.functions import stencil
+from talus.functions.topology import DX, DY
 from talus.operators import flow
-from talus.operators.flood import MAX_ALONE
-from talus.plans.halo import over_tiles, rows, shifted
+from talus.operators.accumulate import distances
+from talus.plans.checkpoints import cut
+from talus.plans.components import components
+from talus.plans.halo import TILE, over_tiles, rows, shifted
 from talus.raster import Raster
 
 
@@ -43,24 +44,62 @@ def flat_edges(dem: Raster) -> DataFrame:
     return over_tiles(dem, kernel, "x int, y int, kind int", pad=2)
 
 
-def flat_mask(dem: Raster) -> DataFrame:
-    """x, y, mask (increments towards drainage, 0 outside flats), label (flat id of the first cell of the group; null if none drains)."""
-    w, h = dem.meta.width, dem.meta.height
-    if w * h > MAX_ALONE:
-        raise ValueError(f"flats are resolved in one task, for up to {MAX_ALONE} cells")
-
-    def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
-        z = np.full((h, w), np.nan)
-        z[y, x] = np.asarray(table.column("z").to_numpy(), dtype=float)
-        off = np.ones((h + 2, w + 2), dtype=bool)
-        off[1:-1, 1:-1] = False
-        mask, label = kernels.mask(z, stencil.flats(np.pad(z, 1, constant_values=np.nan), off))
-        own = label[y, x]
-        return pa.table({"x": x, "y": y, "mask": mask[y, x].astype(np.int32), "label": pa.array(own, pa.int64(), mask=own < 0)})
-
-    cells = dem.cells.select("x", "y", F.col("z").cast("double").alias("z"), F.lit(0).alias("g"))
-    return cells.groupBy("g").applyInArrow(run, "x int, y int, mask int, label long")
+def _ground(dem: Raster, tile: int) -> DataFrame:
+    """x, y, kind (as in flat_edges), part: the first cell's flat id of the cells in the tile that equal heights join it to."""
+    width = dem.meta.width
+
+    def kernel(box, present, z):
+        off = box.off_grid()
+        flat = stencil.flats(z, off)
+        flat[off[1:-1, 1:-1]] = np.nan
+        y, x = np.divmod(kernels.equal_groups(z[2:-2, 2:-2]), box.width)
+        return rows(box, present, kind=kernels.edge_kinds(z[1:-1, 1:-1], flat), part=(y + box.y0).astype(np.int64) * width + x + box.x0)
+
+    return over_tiles(dem, kernel, "x int, y int, kind int, part long", pad=2, tile=tile)
+
+
+def _level_steps(dem: Raster, tile: int) -> DataFrame:
+    """x, y, nx, ny, way: steps to cells of equal height that are flat (0), or that lie in another tile, each pair once (1)."""
+
+    def kernel(box, present, z):
+        off = box.off_grid()
+        flat = stencil.flats(z, off)
+        flat[off[1:-1, 1:-1]] = np.nan
+        inner, parts = z[1:-1, 1:-1], []
+        own = shifted(inner, 0, 0)
+        y, x = np.indices(own.shape)
+        for n in range(1, 9):
+            level = present & (shifted(inner, DX[n], DY[n]) == own)
+            beyond = (x + DX[n] < 0) | (y + DY[n] < 0) | (x + DX[n] >= box.width) | (y + DY[n] >= box.height)
+            for way, where in ((0, level & (shifted(flat, DX[n], DY[n]) == 1)), (1, level & beyond & (n > 4))):
+                sy, sx = np.nonzero(where)
+                parts.append((sx + box.x0, sy + box.y0, sx + box.x0 + DX[n], sy + box.y0 + DY[n], np.full(len(sx), way)))
+        x, y, nx, ny, way = (np.concatenate(p) for p in zip(*parts))
+        return {"x": x, "y": y, "nx": nx, "ny": ny, "way": way}
+
+    return over_tiles(dem, kernel, "x int, y int, nx int, ny int, way int", pad=2, tile=tile)
+
+
+def flat_mask(dem: Raster, tile: int = TILE) -> DataFrame:
+    """x, y, mask (increments towards drainage, 0 outside flats), label (flat id of the first cell of the group; null if none drains).
+
+    Groups are joined across tiles by components of the tiles' own groups, and steps are counted from tile to tile.
+    """
+    width = dem.meta.width
+    cells, steps = cut(_ground(dem, tile)), cut(_level_steps(dem, tile))
+    at = lambda x, y, name: cells.select(F.col("x").alias(x), F.col("y").alias(y), F.col("part").alias(name))
+    pairs = steps.where("way = 1").join(at("x", "y", "a"), ["x", "y"]).join(at("nx", "ny", "b"), ["nx", "ny"]).select("a", "b")
+    whole = cells.join(components(pairs), cells["part"] == F.col("node"), "left").select("x", "y", "kind", F.coalesce("component", "part").alias("label"))
+    drained = whole.where("kind = 1").select("label").distinct().withColumn("drained", F.lit(True))
+    labelled = cut(whole.join(drained, "label", "left").select("x", "y", "kind", F.when(F.col("drained"), F.col("label")).alias("label")))
+    links = steps.where("way = 0")
+    towards = distances(links, labelled.where("kind = 1"), width, tile).withColumnRenamed("d", "towards")
+    away = distances(links, labelled.where("kind = 2 AND label IS NOT NULL"), width, tile).withColumnRenamed("d", "away")
+    known = labelled.join(towards, ["x", "y"], "left").join(away, ["x", "y"], "left")
+    height = known.where("away > 0").groupBy("label").agg(F.max("away").alias("height"))
+    own, lift = F.coalesce("away", F.lit(0)), F.coalesce(F.col("height") - F.col("away"), F.lit(0))
+    mask = F.when(F.col("towards") > 0, lift + 2 * F.col("towards")).otherwise(-own)
+    return known.join(height, "label", "left").select("x", "y", mask.cast("int").alias("mask"), "label")
 
 
 def resolve_epsilon(dem: Raster) -> Raster:

@@ -5,7 +5,9 @@ import heapq
 import numpy as np
 import pytest
 
+from talus.functions import flats as flat_kernels
 from talus.functions import flood as K
+from talus.functions import stencil
 from talus.operators import accumulate, flats, flood, flow
 from talus.raster import Raster
 from talus.sources import grids, layout
@@ -293,3 +295,17 @@ def test_dinf_directions_in_flats(spark, flat_ground):
         ends = [of[nx, ny] for nx, ny, p in to[c] if p > 1e-9]
         assert ends and all(b == label for _, b in ends) and all(a <= mask for a, _ in ends) and min(a for a, _ in ends) < mask
     assert changed > 50
+
+
+@pytest.mark.parametrize("tile", [3, 8, 64])
+def test_flat_mask_in_tiles(spark, flat_ground, tile):
+    """As on the whole array at once."""
+    r, _ = flat_ground
+    z = r.to_numpy()
+    z[z == -9999.0] = np.nan
+    off = np.pad(np.zeros(z.shape, dtype=bool), 1, constant_values=True)
+    mask, label = flat_kernels.mask(z, stencil.flats(np.pad(z, 1, constant_values=np.nan), off))
+    found = flats.flat_mask(r, tile).collect()
+    assert len(found) == z.size
+    for c in found:
+        assert (c.mask, -1 if c.label is None else c.label) == (mask[c.y, c.x], label[c.y, c.x])
