@@ -172,3 +172,14 @@ SQL |= {
     "d8_flowdirs_wide": f"WITH {directions(300)} SELECT x, y, z FROM dirs",
     "fm_quinn_wide": f"WITH {edges('quinn', 300, 1.0)} SELECT x, y, n::INT AS n, nx::INT AS nx, ny::INT AS ny, round(p, 6) AS p FROM edges",
 }
+
+
+def _steps(name: str, starts: str) -> str:
+    """Fewest cells on a way from the starts through flat cells of one height."""
+    return f"{name}(x, y, d) USING KEY (x, y) AS (SELECT x, y, 1::BIGINT AS d FROM kinds JOIN label USING (x, y) WHERE {starts} UNION SELECT p.nx, p.ny, min({name}.d) + 1 FROM {name} JOIN pairs p USING (x, y) LEFT JOIN recurring.{name} old ON old.x = p.nx AND old.y = p.ny WHERE p.nz = p.z AND p.nflat = 1 AND (old.d IS NULL OR {name}.d + 1 < old.d) GROUP BY p.nx, p.ny)"
+
+
+_DRAINED = "drained AS MATERIALIZED (SELECT DISTINCT l FROM label JOIN kinds USING (x, y) WHERE kind = 1)"
+_GRADIENTS = f"{_FLATS}, {_PAIRS}, {_EDGE_KINDS}, {_LABELS}, {_DRAINED}, {_steps('toward', 'kind = 1')}, {_steps('away', 'kind = 2 AND l IN (SELECT l FROM drained)')}, top AS (SELECT l, max(d) AS h FROM away JOIN label USING (x, y) GROUP BY l)"
+SQL["flat_mask"] = f"WITH RECURSIVE {_GRADIENTS} SELECT label.x, label.y, (CASE WHEN t.d > 0 THEN coalesce(h - a.d, 0) + 2 * t.d ELSE -coalesce(a.d, 0) END)::INT AS mask, CASE WHEN label.l IN (SELECT l FROM drained) THEN label.l END AS label FROM label LEFT JOIN toward t USING (x, y) LEFT JOIN away a USING (x, y) LEFT JOIN top USING (l)"
+SQL |= {f"{name}_tiles": SQL[name] for name in ("flat_mask", "flat_labels")}

@@ -253,6 +253,8 @@ QUERIES: dict[str, Query] = {
     "fa_freeman_tiles": lambda s, d: _rounded(accumulate.accumulation(dem(s, d), "Freeman", 1.1, tile=16).cells.select("x", "y", F.col("z").alias("a")), "a"),
     "d8_area_tiles": _d8_area_tiles,
     "upslope_tiles": _upslope_tiles,
+    "flat_mask_tiles": lambda s, d: flats.flat_mask(_coarse(s, d), tile=16),
+    "flat_labels_tiles": lambda s, d: flats.flat_mask(_coarse(s, d), tile=16).where("label IS NOT NULL").select("x", "y", F.col("label").cast("double").alias("z")),
     "fill_d8_tiles": _cells(lambda r: flood.fill(r, tile=16)),
     "rho8": _metric("Rho8"),
     "rho4": _metric("Rho4"),
