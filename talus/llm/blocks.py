@@ -195,6 +195,25 @@ def winnow(rolling: Rolling, starts: np.ndarray, gram: int, window: int) -> Runs
     return Runs(at[head], at[tail], doc[head], anchor[head], mix(~grams[anchor[head]]) >> np.uint64(64 - KEY_BITS))
 
 
+def chunks(starts: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Documents a..b-1 of about `size` bytes together, or one longer; all of them in order."""
+    a = 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + size, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def anchors(block: Block, gram: int, window: int, size: int = BLOCK_BYTES) -> Runs:
+    """Winnowed anchors of a block's bytes, chunk by chunk: hashes take many times the memory of the text."""
+    data, parts = np.frombuffer(block.data, np.uint8), []
+    for a, b in chunks(block.starts, size):
+        at, end = int(block.starts[a]), int(block.starts[b])
+        runs = winnow(Rolling(data[at:end].astype(np.uint64) + np.uint64(1)), block.starts[a : b + 1] - at, gram, window)
+        parts.append((runs.first + at, runs.last + at, runs.doc + a, runs.at + at, runs.key))
+    return Runs(*map(np.concatenate, zip(*parts)))
+
+
 # --- packed arrays ----------------------------------------------------------
 
 
@@ -231,7 +250,10 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def strings(data: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Pieces of the data, as binary values."""
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[spread(first, lengths)]))])
+    joined = np.empty(offsets[-1], dtype=np.uint8)
+    for a, b in chunks(offsets):  # places take eight times the memory of the bytes
+        joined[offsets[a] : offsets[b]] = data[spread(first[a:b], lengths[a:b])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
 
 
 def distinct(values: pa.Array, docs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:

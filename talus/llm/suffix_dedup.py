@@ -16,7 +16,10 @@ differ in very many documents: it is one bucket, which grows with them. Windows
 equal bytes are then neighbours, and the smallest doc_id of each run owns it.
 
 Scale: see `blocks`. Shuffled are the blocks once (compressed), about 4 bytes
-for one of 16 bytes of text, and the stretches around shared anchors.
+for one of 16 bytes of text, and the stretches around shared anchors. Blocks
+have 8 MB of text, worked on 1 MB at a time, and a block sends all that goes to
+a bucket in one message, which the bucket takes apart into parts for sorting:
+messages cost by their number where they are small.
 
 Defined cases: null and empty texts have no bytes; of repeated rows with one
 doc_id none is smaller than the other; a null doc_id counts as the largest;
@@ -38,8 +41,10 @@ from talus.llm import blocks as B
 WINDOW, ANCHOR = 50, 20
 #: Differences of these residues give every residue modulo PERIOD.
 COVER, PERIOD = (0, 1, 3, 9), 13
-#: Raw text behind one bucket of stretches: sorting takes some 80 bytes for each window in it.
-SORT_BYTES = 4 << 20
+#: Text of a block: the more, the fewer messages.
+BLOCK_BYTES = 8 << 20
+#: Parts of a bucket that are sorted one after the other: sorting takes some 80 bytes for each window, and there are some 4 MB of raw text behind one.
+PARTS = 3
 #: Suffixes sorted at a time.
 AT_ONCE = 1 << 18
 
@@ -182,29 +187,45 @@ def _solve(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
     return [own[B.spread(first[stands[a:b]], windows[a:b])] < np.repeat(docs[a:b], windows[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _solve_parts(asked: list[list[np.ndarray]], window: int) -> list[np.ndarray]:
+    """_solve for messages that begin with the numbers of their stretches in each part, one part at a time."""
+    docs = [np.concatenate(([0], np.cumsum(x[0], dtype=np.int64))) for x in asked]
+    ends = [np.concatenate(([0], np.cumsum(x[2], dtype=np.int64)))[d] for x, d in zip(asked, docs)]
+    bits: list[list[np.ndarray]] = [[] for _ in asked]
+    for k in range(len(asked[0][0])):
+        having = [i for i, d in enumerate(docs) if d[k + 1] > d[k]]
+        if not having:
+            continue
+        part = [[asked[i][1][(own := slice(docs[i][k], docs[i][k + 1]))], asked[i][2][own], asked[i][3][ends[i][k] : ends[i][k + 1]]] for i in having]
+        for i, found in zip(having, _solve(part, window)):
+            bits[i].append(found)
+    return [np.concatenate(x) for x in bits]
+
+
 class _Stretches:
     """The stretches of a block around shared anchors, equal ones once."""
 
-    def __init__(self, block: B.Block, met: list | None, buckets: int, fine: int, window: int, anchor: int):
+    def __init__(self, block: B.Block, met: list | None, buckets: int, window: int, anchor: int):
         data = np.frombuffer(block.data, np.uint8)
-        runs = B.winnow(B.Rolling(data.astype(np.uint64) + np.uint64(1)), block.starts, anchor, window)
+        runs = B.anchors(block, anchor, window)
         shared = B.read_bits(runs.key, buckets, met)
         self.first, self.last = runs.first[shared], runs.last[shared]
         self.doc = block.ids[runs.doc[shared]]
         self.lengths = self.last - self.first + window
-        # stretches with the same bytes have the same anchor, and so the same bucket
+        # stretches with the same bytes have the same anchor, and so the same part of a bucket
         _, which, place, self.least = B.distinct(B.strings(data, self.first, self.lengths), self.doc)
-        bucket = B.bucket_of(runs.key[shared][place], fine)
-        order = np.argsort(bucket, kind="stable")
+        part = B.bucket_of(runs.key[shared][place], buckets * PARTS)
+        order = np.argsort(part, kind="stable")
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         #: A stretch of each content, in the order they are sent; which content each stretch has.
-        self.sent, self.bucket, self.least, self.stands = place[order], bucket[order], self.least[order], back[which]
+        self.sent, self.part, self.least, self.stands = place[order], part[order], self.least[order], back[which]
         self.data = data
 
     def groups(self) -> Iterator[tuple[int, slice]]:
-        for b in np.unique(self.bucket):
-            i, j = np.searchsorted(self.bucket, [b, b + 1])
+        """Buckets, and which of the sent stretches go there."""
+        for b in np.unique(self.part // PARTS):
+            i, j = np.searchsorted(self.part, [b * PARTS, (b + 1) * PARTS])
             yield int(b), slice(int(i), int(j))
 
 
@@ -213,30 +234,27 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
 
     kept and spans are null when `with_bytes` is false.
     """
-    packed = B.packed(documents)
-    buckets, fine = B.buckets_for(packed), B.buckets_for(packed, SORT_BYTES)
+    packed = B.packed(documents, size=BLOCK_BYTES)
+    buckets = B.buckets_for(packed)
 
     def seeds(number: int, block: B.Block) -> Iterator[tuple]:
-        rolling = B.Rolling(np.frombuffer(block.data, np.uint8).astype(np.uint64) + np.uint64(1))
-        runs = B.winnow(rolling, block.starts, anchor, window)
-        del rolling
+        runs = B.anchors(block, anchor, window)
         yield from B.ask(number, runs.key, block.ids[runs.doc], buckets)
 
     def send(number: int, block: B.Block, met: list | None) -> Iterator[tuple]:
-        found = _Stretches(block, met, buckets, fine, window, anchor)
+        found = _Stretches(block, met, buckets, window, anchor)
         for b, part in found.groups():
             own = found.sent[part]
+            sizes = np.bincount(found.part[part] - b * PARTS, minlength=PARTS).astype(np.uint32)
             text = found.data[B.spread(found.first[own], found.lengths[own])]
-            yield b, number, B.squeeze(found.least[part], found.lengths[own].astype(np.uint32), text)
+            yield b, number, B.squeeze(sizes, found.least[part], found.lengths[own].astype(np.uint32), text)
 
     def solve(table: pa.Table) -> pa.Table:
-        bits = _solve([B.stretch(x) for x in table.column("payload").to_pylist()], window)
+        bits = _solve_parts([B.stretch(x) for x in table.column("payload").to_pylist()], window)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
     def remove(number: int, block: B.Block, met: list | None, owned: list | None) -> Iterator[tuple]:
-        found = _Stretches(block, met, buckets, fine, window, anchor)
-        size = len(block.data)
-        change = np.zeros(size + 1, dtype=np.int64)
+        found = _Stretches(block, met, buckets, window, anchor)
         told = {x["bucket"]: x["bits"] for x in owned or ()}
         count = found.lengths - window + 1
         sent_count = count[found.sent]
@@ -245,24 +263,29 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
         for b, part in found.groups():
             i, j = ends[part.start], ends[part.stop]
             bits[i:j] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=int(j - i)).astype(bool)
-        if len(count):
-            # a stretch takes what its equal of the smallest document was told; all of it where that document is smaller
-            whole = found.least[found.stands] < found.doc
-            gone = bits[B.spread(ends[found.stands], count)] | np.repeat(whole, count)
-            at = B.spread(found.first, count)[gone]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
-        removed = np.cumsum(change)[:-1] > 0
-        total = np.concatenate(([0], np.cumsum(removed)))
-        for d in range(len(block.ids)):
-            a, b = int(block.starts[d]), int(block.starts[d + 1])
-            n, kept, spans = int(total[b] - total[a]), block.data[a:b], []
-            if n:
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], removed[a:b], [False])).astype(np.int8)))
-                spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-                kept = found.data[a:b][~removed[a:b]].tobytes()
-            doc_id = None if block.ids[d] == B.NO_ID else int(block.ids[d])
-            yield doc_id, b - a, n, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, [{"start": x, "end": y} for x, y in spans] if with_bytes else None
+        for c, d in B.chunks(block.starts):
+            low, high = int(block.starts[c]), int(block.starts[d])
+            change = np.zeros(high - low + 1, dtype=np.int64)
+            own = slice(*np.searchsorted(found.first, [low, high]))
+            stands, windows = found.stands[own], count[own]
+            if len(windows):
+                # a stretch takes what its equal of the smallest document was told; all of it where that document is smaller
+                whole = found.least[stands] < found.doc[own]
+                gone = bits[B.spread(ends[stands], windows)] | np.repeat(whole, windows)
+                at = B.spread(found.first[own] - low, windows)[gone]
+                np.add.at(change, at, 1)
+                np.add.at(change, at + window, -1)
+            removed = np.cumsum(change)[:-1] > 0
+            total = np.concatenate(([0], np.cumsum(removed)))
+            for k in range(c, d):
+                a, b = int(block.starts[k]) - low, int(block.starts[k + 1]) - low
+                n, kept, spans = int(total[b] - total[a]), block.data[low + a : low + b], []
+                if n:
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], removed[a:b], [False])).astype(np.int8)))
+                    spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+                    kept = found.data[low + a : low + b][~removed[a:b]].tobytes()
+                doc_id = None if block.ids[k] == B.NO_ID else int(block.ids[k])
+                yield doc_id, b - a, n, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, [{"start": x, "end": y} for x, y in spans] if with_bytes else None
 
     met = B.answer(B.over_blocks(packed, seeds, B.QUESTION, B.QUESTION_NAMES), "met").checkpoint()
     both = packed.join(met, "block", "left")
