@@ -63,6 +63,14 @@ def ensure_checkpoints(spark) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talus-"))
 
 
+def few(frame):
+    """The rows in a sixteenth of the partitions that shuffles have (6 at least), for small rows.
+
+    Each partition of a checkpoint is a file, and Hadoop starts processes to set the permissions of a local one.
+    """
+    return frame.coalesce(max(6, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 @contextmanager
 def settings(spark, **values: str) -> Iterator[None]:
     """Session settings (with __ for dots) for the actions inside."""

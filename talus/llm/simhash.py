@@ -56,25 +56,27 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     return [hashed(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
 
 
-def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """A bit is set if it is set in over half of the text's hashes."""
-    hashes = [shingle_hashes(t, size) for t in texts]
-    counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if not counts.sum():
-        return out
-    flat = np.fromiter(itertools.chain.from_iterable(hashes), dtype=np.uint64, count=int(counts.sum()))
-    owner = np.repeat(np.arange(len(texts)), counts)
+def majority(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 bits for each run of `counts` hashes; a bit is set if it is set in over half of them."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    owner = np.repeat(np.arange(len(counts)), counts)
     for byte in range(8):
         value = ((flat >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)
         # ones of each bit, by way of a histogram of this byte
-        histogram = np.bincount(owner * 256 + value, minlength=256 * len(texts)).reshape(-1, 256)
+        histogram = np.bincount(owner * 256 + value, minlength=256 * len(counts)).reshape(-1, 256)
         on = (histogram @ _BITS) * 2 > counts[:, None]
         for bit in range(8):
             out |= on[:, bit].astype(np.uint64) << np.uint64(8 * byte + bit)
     return out
 
 
+def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """A bit is set if it is set in over half of the text's hashes."""
+    hashes = [shingle_hashes(t, size) for t in texts]
+    counts = np.array([len(h) for h in hashes], dtype=np.int64)
+    return majority(np.fromiter(itertools.chain.from_iterable(hashes), dtype=np.uint64, count=int(counts.sum())), counts)
+
+
 def fingerprint(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
 
