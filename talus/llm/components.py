@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import ensure_checkpoints
+from talus.llm.common import ensure_checkpoints, few
 
 MAX_ROUNDS = 60
 
@@ -37,14 +37,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node. edges: u, v (long)."""
     ensure_checkpoints(edges.sparkSession)
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now = few(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()).checkpoint()
     for _ in range(MAX_ROUNDS):
         # done when every node has one edge and no centre is a member: then all are stars
         members = now.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
         centre = now.select(F.col("v").alias("u")).distinct()
         if members.where("n > 1").isEmpty() and now.join(centre, "u", "left_semi").isEmpty():
             break
-        now = _small_star(_large_star(now).distinct()).checkpoint()
+        now = few(_small_star(_large_star(now).distinct())).checkpoint()
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import blocks as B
+from talus.llm.common import few
 
 #: Share of the bigram estimate; the rest goes to the unigram.
 BIGRAM = 0.6
@@ -56,7 +57,7 @@ def trusted(labels: DataFrame) -> DataFrame:
 def _flagged(packed: DataFrame, labels: DataFrame) -> DataFrame:
     """The blocks with the ids of their trusted documents (good)."""
     held = packed.select("block", F.explode("ids").alias("doc_id")).distinct()
-    good = held.join(trusted(labels), "doc_id").groupBy("block").agg(F.collect_list("doc_id").alias("good")).checkpoint()
+    good = few(held.join(trusted(labels), "doc_id").groupBy("block").agg(F.collect_list("doc_id").alias("good"))).checkpoint()
     return packed.join(good, "block", "left")
 
 
